@@ -24,6 +24,7 @@ class Tagger:
         self.table = np.zeros(0x110000, np.int32)
         self._classes()
         self.w = weights if weights is not None else self._fresh(np.random.default_rng(seed))
+        self.hidden = len(self.w["Uf"])
         self.allowed = np.array([[self._follows(a, b) for b in self.tags] for a in self.tags])
 
     def _follows(self, a: str, b: str) -> bool:
@@ -63,7 +64,7 @@ class Tagger:
 
     def prepare(self) -> None:
         """Folds embedding, input weights and the halving of the gates' arguments into tables."""
-        h, scale = HIDDEN, np.ones(4 * HIDDEN, np.float32)
+        h, scale = self.hidden, np.ones(4 * self.hidden, np.float32)
         scale[: 3 * h] = 0.5
         self.P = {d: (self.w["E"] @ self.w["W" + d] + self.w["b" + d]) * scale for d in "fb"}
         self.S = {d: np.ascontiguousarray(self.w["U" + d] * scale) for d in "fb"}
@@ -72,7 +73,7 @@ class Tagger:
 
     def _run(self, X: np.ndarray, d: str, keep: bool = False):
         T, B = X.shape
-        h = HIDDEN
+        h = self.hidden
         H = np.empty((T, B, h), np.float32)
         Cs, G = (np.empty((T, B, h), np.float32), np.empty((T, B, 4 * h), np.float32)) if keep else (None, None)
         hh, c = np.zeros((B, h), np.float32), np.zeros((B, h), np.float32)
@@ -130,7 +131,7 @@ class Tagger:
         """Mean negative log-likelihood of a batch and its gradients."""
         self.prepare()
         T, B = X.shape
-        h, K = HIDDEN, len(self.tags)
+        h, K = self.hidden, len(self.tags)
         runs = {d: self._run(X, d, keep=True) for d in "fb"}
         HH = np.concatenate([runs["f"][0], runs["b"][0]], 2)
         E = HH @ self.w["V"] + self.w["c"]
