@@ -22,7 +22,7 @@ from uttera.llm.privacy_label import spans
 from uttera.llm.tagger import Tagger, fit
 
 SAMPLE = 10_000
-EPOCHS = 48
+EPOCHS = 22
 WORD = re.compile(r"[^\W\d_]+")
 # Syllables for names that no list has.
 LATIN = "ba be bi bou cha dal di do fa fi ga gho ha hin ka kar la li lou ma mi mou na ner no ou ra ri rou sa sen ta tav va vel wa wi ya za zey".split()
@@ -135,7 +135,7 @@ def main(docs: str, names: str, out: str) -> None:
         def __len__(self):
             return n
 
-    fit(tagger, Feed(), EPOCHS, size=96, rate=7e-3, log=lambda x: print(x, flush=True))
+    fit(tagger, Feed(), EPOCHS, size=64, rate=3.5e-3, log=lambda x: print(x, flush=True))
     np.savez_compressed(out, chars=np.array(chars), cues=np.array("\n".join(sorted(cues))), **{"w_" + k: v.astype(np.float16) for k, v in tagger.w.items()})
     report(held, given, out)
 

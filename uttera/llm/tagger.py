@@ -224,23 +224,27 @@ def batches(rows: list[tuple[np.ndarray, np.ndarray]], size: int, rng: np.random
 
 
 def fit(tagger: Tagger, rows, epochs: int, size: int = 64, rate: float = 4e-3, seed: int = 17, log=print) -> Tagger:
-    """Adam over ``rows`` of (input indexes, tags); the rate falls linearly."""
+    """Adam over ``rows`` of (input indexes, tags); the rate falls linearly, and the weights of the epoch of least loss stay."""
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in tagger.w.items()}
     s = {k: np.zeros_like(v) for k, v in tagger.w.items()}
     total, n = epochs * -(-len(rows) // size), 0
+    best, least = tagger.w, np.inf
     for epoch in range(epochs):
         losses = []
         for X, Y in batches(rows() if callable(rows) else rows, size, rng):
             loss, g = tagger._grads(X, Y)
             n += 1
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            lr = rate * max(0.02, 1 - n / total) * min(1, 5 / max(norm, 1e-6))
+            lr = rate * max(0.02, 1 - n / total) * min(1, 8 / max(norm, 1e-6))
             for k, v in g.items():
                 m[k] = 0.9 * m[k] + 0.1 * v
-                s[k] = 0.99 * s[k] + 0.01 * v * v
-                tagger.w[k] = (tagger.w[k] - lr * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
+                s[k] = 0.998 * s[k] + 0.002 * v * v
+                tagger.w[k] = (tagger.w[k] - lr * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.998**n)) + 1e-6)).astype(np.float32)
             losses.append(loss)
         log(f"epoch {epoch + 1}: loss {np.mean(losses):.4f}")
+        if np.mean(losses) < least:
+            best, least = dict(tagger.w), np.mean(losses)
+    tagger.w = best
     tagger.prepare()
     return tagger
