@@ -46,8 +46,8 @@ EMOJI_JOINER, KEPT = "\u200d", "\ufdd0"
 
 
 @functools.cache
-def tables() -> tuple[dict[int, str | None], re.Pattern[str], re.Pattern[str]]:
-    """The fold of single characters, the quick check, and the pattern of an unstable run with the character before it."""
+def tables() -> tuple[dict[int, str | None], re.Pattern[str], re.Pattern[str], re.Pattern[str]]:
+    """The fold of single characters, the quick check in two steps, and the pattern of an unstable run with the character before it."""
     fold: dict[int, str | None] = {}
     unstable: set[int] = set()
     second: set[int] = set()
@@ -84,15 +84,18 @@ def tables() -> tuple[dict[int, str | None], re.Pattern[str], re.Pattern[str]]:
         else:
             runs.append([c, c])
     cls = "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs)
-    return fold, re.compile(f"[{cls}]"), re.compile(f"(?s:[^{cls}]?)[{cls}]+")
+    # the quick check asks for what is not in the blocks of the letters in use, first by their few stable ranges
+    common = [c for c in (*range(0x100), *range(0x621, 0x64B), *range(0x660, 0x66A), 0x60C, 0x61B, 0x61F) if c not in unstable]
+    usual = re.compile("[^" + "".join(re.escape(chr(c)) for c in common) + "]")
+    return fold, usual, re.compile(f"[{cls}]"), re.compile(f"(?s:[^{cls}]?)[{cls}]+")
 
 
 def uniform(text: str | None) -> str | None:
     """``text`` in the one form; null stays null, empty stays empty.  Applying it again changes nothing."""
     if not text or text.isascii():
         return text
-    fold, check, unstable = tables()
-    if check.search(text) is None:
+    fold, usual, check, unstable = tables()
+    if usual.search(text) is None or check.search(text) is None:
         return text
 
     def splice(m: re.Match[str]) -> str:

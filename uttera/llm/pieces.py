@@ -9,6 +9,7 @@ equal integers are equal pieces.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -38,7 +39,14 @@ def plain(text: str | None) -> str | None:
     """The words of the uniform text in lower case, with single spaces; null if there are none."""
     if not text:
         return None
-    return " ".join(uniform(text).lower().translate(gaps()).split()) or None
+    s = uniform(text).lower()
+    if _odd(s) is not None:
+        s = s.translate(gaps())
+    return " ".join(s.split()) or None
+
+
+#: Finds anything but the usual letters, digits and white space; most texts have none and need no translation.
+_odd = re.compile("[^a-zà-öø-ÿ0-9 \t\nء-غف-ي٠-٩]").search
 
 
 def plain_col(c: Column) -> Column:
