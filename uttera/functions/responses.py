@@ -54,19 +54,22 @@ def nearest(values: DataFrame, value_col: str, labels: list[str], cutoff: float
     return values.select(F.col(value_col).alias("value")).where("value is not null").distinct().mapInPandas(run, "value string, label string")
 
 
-def predicted_intent(df: DataFrame, response_col: str, labels: list[str], out_col: str = "pred", cutoff: float = CUTOFF) -> DataFrame:
+def predicted_intent(df: DataFrame, response_col: str, labels: list[str], out_col: str = "pred", cutoff: float | None = CUTOFF) -> DataFrame:
     """``df`` with the intent its response names.
 
     The name after ``"intent":`` as the label it equals but for case, else the
     nearest label, else itself; a response without it, the first label in it as
     a whole word; else null.  Only the different names that equal no label are
-    compared with the labels, which must be a bounded list.
+    compared with the labels, which must be a bounded list; with ``cutoff``
+    None none are.
     """
     lower = F.create_map(*[F.lit(x) for label in sorted(set(labels)) for x in (label.lower(), label)])
     with_name = df.withColumn("_name", named_intent(F.col(response_col)))
     exact = F.try_element_at(lower, F.lower("_name"))
-    off = with_name.where(F.col("_name").isNotNull() & exact.isNull())
-    near = nearest(off, "_name", labels, cutoff).toDF("_name", "_near")
-    joined = with_name.join(near, "_name", "left")
+    if cutoff is None:
+        joined = with_name.withColumn("_near", F.lit(None).cast("string"))
+    else:
+        off = with_name.where(F.col("_name").isNotNull() & exact.isNull())
+        joined = with_name.join(nearest(off, "_name", labels, cutoff).toDF("_name", "_near"), "_name", "left")
     pred = F.when(F.col("_name").isNotNull(), F.coalesce(exact, F.col("_near"), F.col("_name"))).otherwise(first_word_label(F.col(response_col), labels))
     return joined.withColumn(out_col, pred).drop("_name", "_near")
