@@ -8,8 +8,8 @@ read from it.  An exact check follows: an email, phone or identity number must
 have the format of one, and the ends of a span are moved to the format's ends.
 
 A window is cut only around *anchors*: digits, at-signs, the given names of the
-list and the words which in the labelled sample stand beside names and
-addresses.  Every labelled case of the sample lies within the reach of one
+list (but for those that are mostly other words) and the phrases which in the
+labelled sample stand beside names and addresses.  Every labelled case of the sample lies within the reach of one
 (tests/llm), so that text without anchors holds no case; ``whole=True`` decodes
 all of it.
 
@@ -40,12 +40,12 @@ FOUND = "id string, kind string, start_pos int, end_pos int, value string"
 
 
 @functools.cache
-def model() -> tuple[Tagger, frozenset[str]]:
-    """The fitted tagger and the anchor words."""
+def model() -> tuple[Tagger, frozenset[str], frozenset[str]]:
+    """The fitted tagger, the cues, and the listed names that are no anchors."""
     z = np.load(MODEL, allow_pickle=False)
     t = Tagger(str(z["chars"]), KINDS, {k[2:]: z[k].astype(np.float32) for k in z.files if k.startswith("w_")})
     t.prepare()
-    return t, frozenset(str(z["cues"]).split("\n"))
+    return t, frozenset(str(z["cues"]).split("\n")), frozenset(str(z["weak"]).split("\n"))
 
 
 @functools.cache
@@ -67,13 +67,15 @@ def lowered(text: str) -> str:
 class Finder:
     """Finds anchors and given names; one per worker."""
 
-    def __init__(self, names: Iterable[str], cues: Iterable[str]):
+    def __init__(self, names: Iterable[str], cues: Iterable[str] | None = None, weak: Iterable[str] | None = None):
         import ahocorasick
 
+        cues, weak = model()[1] if cues is None else cues, model()[2] if weak is None else weak
+
         self.names = {lowered(n) for n in names if n and n.strip()}
         self.auto = ahocorasick.Automaton()
         for w in {*self.names, *cues, "[at]", "(at)", " arobase ", " at "} - {""}:
-            self.auto.add_word(w, (len(w), w in self.names, w[0].isalpha(), w[-1].isalpha()))
+            self.auto.add_word(w, (len(w), w in self.names, w[0].isalpha(), w[-1].isalpha(), w not in weak))
         self.auto.make_automaton()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +84,12 @@ class Finder:
         at = [np.flatnonzero(anchor_class()[code])]
         flags = np.zeros(len(text), np.int32)
         low, n, more = lowered(text), len(text), []
-        for end, (size, name, left, right) in self.auto.iter(low):
+        for end, (size, name, left, right, anchor) in self.auto.iter(low):
             a, b = end - size + 1, end + 1
             if left and a and low[a - 1].isalpha() or right and b < n and low[b].isalpha():
                 continue
-            more.append(a)
+            if anchor:
+                more.append(a)
             if name:
                 flags[a:b] = 1
         at.append(np.array(more, np.int64))
@@ -153,6 +156,8 @@ def checked(text: str, a: int, b: int, kind: str, names: set[str]) -> tuple[int,
             a += 1
         while a < b and not text[b - 1].isalpha():
             b -= 1
+        if a >= 3 and text[a - 1] == " " and text[a - 2] == "." and text[a - 3].isupper() and not text[max(0, a - 4) : a - 3].isalpha() and text[a - 3 : a] != "M. ":
+            a -= 3  # an initial
         words = text[a:b].split()
         return (a, b) if len(words) >= 2 or words and lowered(words[0]) in names else None
     rx = {"email": EMAIL, "phone": PHONE, "id_number": IDNUM, "address": ADDRESS}[kind]
@@ -169,8 +174,8 @@ def checked(text: str, a: int, b: int, kind: str, names: set[str]) -> tuple[int,
 
 def find(texts: list[str | None], names: Iterable[str] = (), whole: bool = False, finder: Finder | None = None) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of each text, from 0, in order and apart."""
-    tagger, cues = model()
-    finder = finder or Finder(names, cues)
+    tagger = model()[0]
+    finder = finder or Finder(names)
     wins, where = [], []
     for i, text in enumerate(texts):
         if not text:
@@ -221,7 +226,7 @@ def find_private(docs: DataFrame, id_col: str, text_col: str, names: DataFrame |
     listed.sort()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(listed, model()[1])
+        finder = Finder(listed)
         for part in parts:
             for k in range(0, part.num_rows, 512):
                 ids, texts = (part.column(j).slice(k, 512).to_pylist() for j in (0, 1))
@@ -244,7 +249,7 @@ def mask(docs: DataFrame, id_col: str, text_col: str, names: DataFrame | None =
         raise ValueError("names: more than 100,000 given names")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(listed, model()[1])
+        finder = Finder(listed)
         for part in parts:
             for k in range(0, part.num_rows, 512):
                 ids, texts = (part.column(j).slice(k, 512).to_pylist() for j in (0, 1))

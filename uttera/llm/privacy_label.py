@@ -26,9 +26,10 @@ ADDRESS_TAIL = re.compile(
     rf"(?P<fr>[^\d\n,;:.]{{0,40}}(?: {D}{{4}} [A-Z][\w-]+|, (?:{D}{{4}} )?[A-Z][\w-]+|))"
 )
 # Words around a name.
-PART = r"[A-Za-zÀ-ÿ]+(?:-[A-Za-zÀ-ÿ]+)?"
-LATIN = rf"{PART}(?: (?:ben|Ben|BEN))? {PART}"
-ARABIC = r"[ء-ي]+(?: بن)? [ء-ي]+"
+PART = r"[A-Za-zÀ-ÿ]{2,}(?:-[A-Za-zÀ-ÿ]{2,})?"
+BEN = r"(?:(?i:ben) )?"
+LATIN = rf"(?:[A-Z]\. {BEN}{PART}|{BEN}{PART} {BEN}{PART})"
+ARABIC = r"(?:بن )?[ء-ي]{2,}(?: بن)? [ء-ي]{2,}"
 NAME = rf"(?P<n>{LATIN}|{ARABIC})"
 NAMED = [
     rf"je m'appelle {NAME}", rf"Mme {NAME} a signalé", rf"M\. {NAME} attend une", rf"signé {NAME}",
