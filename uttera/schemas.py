@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-def _ddl(s: str) -> T.StructType:
-    return T.StructType.fromDDL(s)
-
-
-MANIFEST = _ddl("ID string, duration double, wav string, tun_transcription string, tun_slu_annotation string, intent string")
-SLOT = "struct<label: string, value: string>"
-ITEM = _ddl(f"id string, text string, annotated string, intent string, slots array<{SLOT}>, meta struct<mode: string, batch: string, model: string>")
-VERDICT = _ddl("item_id string, annotator string, annotator_pos int, derja string, natural string, intent_match string, slots_ok string, fixed_annotated string")
-RESULT = _ddl("response string, meta struct<id: string, subtask: string, family: string, split: string, intent: string, ref: string>")
-SCORE = _ddl("id string, wav string, gold string, hyp string, wer double")
-CHAT = _ddl("messages array<struct<role: string, content: string>>, audios array<string>, meta struct<id: string, subtask: string, family: string, split: string, intent: string, ref: string>")
-LOG = _ddl("log_history array<struct<step: bigint, eval_loss: double>>")
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+STR, INT, LONG, DOUBLE = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+
+MANIFEST = _struct(ID=STR, duration=DOUBLE, wav=STR, tun_transcription=STR, tun_slu_annotation=STR, intent=STR)
+SLOTS = T.ArrayType(_struct(label=STR, value=STR))
+ITEM = _struct(id=STR, text=STR, annotated=STR, intent=STR, slots=SLOTS, meta=_struct(mode=STR, batch=STR, model=STR))
+VERDICT = _struct(item_id=STR, annotator=STR, annotator_pos=INT, derja=STR, natural=STR, intent_match=STR, slots_ok=STR, fixed_annotated=STR)
+META = _struct(id=STR, subtask=STR, family=STR, split=STR, intent=STR, ref=STR)
+RESULT = _struct(response=STR, meta=META)
+SCORE = _struct(id=STR, wav=STR, gold=STR, hyp=STR, wer=DOUBLE)
+CHAT = _struct(messages=T.ArrayType(_struct(role=STR, content=STR)), audios=T.ArrayType(STR), meta=META)
+LOG = _struct(log_history=T.ArrayType(_struct(step=LONG, eval_loss=DOUBLE)))
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
