@@ -229,18 +229,20 @@ def fit(tagger: Tagger, rows, epochs: int, size: int = 64, rate: float = 4e-3, s
     m = {k: np.zeros_like(v) for k, v in tagger.w.items()}
     s = {k: np.zeros_like(v) for k, v in tagger.w.items()}
     total, n = epochs * -(-len(rows) // size), 0
-    best, least = tagger.w, np.inf
+    best, least, usual = tagger.w, np.inf, 0.0
     for epoch in range(epochs):
         losses = []
         for X, Y in batches(rows() if callable(rows) else rows, size, rng):
             loss, g = tagger._grads(X, Y)
             n += 1
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            lr = rate * max(0.02, 1 - n / total) * min(1, 8 / max(norm, 1e-6))
+            usual = norm if n == 1 else 0.98 * usual + 0.02 * min(norm, 3 * usual)
+            clip, lr = min(1.0, 2 * usual / max(norm, 1e-9)), rate * max(0.02, 1 - n / total)
             for k, v in g.items():
+                v = v * clip  # before the moments, or one odd batch moves everything
                 m[k] = 0.9 * m[k] + 0.1 * v
                 s[k] = 0.998 * s[k] + 0.002 * v * v
-                tagger.w[k] = (tagger.w[k] - lr * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.998**n)) + 1e-6)).astype(np.float32)
+                tagger.w[k] = (tagger.w[k] - lr * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.998**n)) + 1e-5)).astype(np.float32)
             losses.append(loss)
         log(f"epoch {epoch + 1}: loss {np.mean(losses):.4f}")
         if np.mean(losses) < least:
