@@ -173,7 +173,7 @@ def main(docs: str, names: str, out: str, start: str | None = None) -> None:
             return n
 
     fit(tagger, Feed(), EPOCHS, size=64, rate=1.5e-3 if start else 3.5e-3, log=lambda x: print(x, flush=True))
-    np.savez_compressed(out, chars=np.array(chars), cues=np.array("\n".join(sorted(cues))), weak=np.array("\n".join(sorted(weak))), **{"w_" + k: v.astype(np.float16) for k, v in tagger.w.items()})
+    np.savez_compressed(out, chars=np.array(tagger.chars), cues=np.array("\n".join(sorted(cues))), weak=np.array("\n".join(sorted(weak))), **{"w_" + k: v.astype(np.float16) for k, v in tagger.w.items()})
     report(held, given, out)
 
 
