@@ -103,7 +103,7 @@ def test_very_long_text():
     bit = "the lamp keeps the clip. write to belbila.karouli@example.org please. joignable au +216 16 707 924 le soir. "
     got = privacy.find([bit * 400], NAMES)[0]
     assert len(got) == 800
-    assert {(a % len(bit), k) for a, _, k in got} == {(34, "email"), (84, "phone")}
+    assert {(a % len(bit), k) for a, _, k in got} == {(bit.index("belbila"), "email"), (bit.index("+216"), "phone")}
     assert privacy.find([bit * 30], NAMES, whole=True) == privacy.find([bit * 30], NAMES)
 
 

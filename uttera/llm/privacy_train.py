@@ -25,7 +25,7 @@ from uttera.llm.privacy_label import spans
 from uttera.llm.tagger import Tagger, fit
 
 SAMPLE = 25_000
-EPOCHS = 6
+EPOCHS = 10
 WORD = re.compile(r"[^\W\d_]+")
 # Syllables for names that no list has.
 LATIN = "ba be bi bou cha dal di do fa fi ga gho ha hin ka kar la li lou ma mi mou na ner no ou ra ri rou sa sen ta tav va vel wa wi ya za zey".split()
