@@ -41,7 +41,7 @@ def test_plan(spark):
 
 def test_positions(spark):
     r = spark.range(1000).select((F.col("id") * 7 + 3).alias("k")).orderBy(F.rand(1))
-    got = sorted((x.k, x.position) for x in batches.positions(r, "k", 16).collect())
+    got = sorted((x.k, x.position) for x in batches.positions(r, ["k"], 16).collect())
     assert got == [(i * 7 + 3, i) for i in range(1000)]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from uttera.session import stage
+
 BATCH, PARAPHRASES, SEED, SHOTS = 20, 60, 17, 6
 
 
@@ -50,22 +52,20 @@ def shots(plan: DataFrame, pool: DataFrame, seed: int = SEED, k: int = SHOTS, pe
     return plan.select("batch_id", "intent").join(p, "intent").withColumn("pos", pos).where(F.col("pos") <= k).select("batch_id", "id", "pos")
 
 
-def chunks(rows: DataFrame, order_col: str, size: int, shards: int = 1, buckets: int = 256) -> DataFrame:
-    """``rows`` with chunk and shard by position in the order: position div size, position mod shards.
+def chunks(rows: DataFrame, order: list[str | Column], size: int, shards: int = 1) -> DataFrame:
+    """``rows`` with chunk and shard by position in the order: position div size, position mod shards."""
+    return positions(rows, order).withColumn("chunk", F.floor(F.col("position") / size)).withColumn("shard", F.col("position") % shards)
 
-    Positions come from counts by range of the order's hash-free quantiles: the
-    rows are range-partitioned, counted by partition, and numbered from there,
-    so that no task sees more than a range.
-    """
-    return positions(rows, order_col, buckets).withColumn("chunk", F.floor(F.col("position") / size)).withColumn("shard", F.col("position") % shards)
 
+def positions(rows: DataFrame, order: list[str | Column], ranges: int | None = None) -> DataFrame:
+    """``rows`` with position, from 0, in a total order.
 
-def positions(rows: DataFrame, order_col: str, buckets: int = 256) -> DataFrame:
-    """``rows`` with position, from 0, in the order of a column whose values are unique."""
-    cuts = rows.agg(F.approx_percentile(order_col, [i / buckets for i in range(1, buckets)], 10_000).alias("c"))
-    at = F.size(F.filter(F.col("c"), lambda x: x <= F.col(order_col)))
-    r = rows.join(F.broadcast(cuts)).withColumn("_b", at).drop("c")  # one row of cuts
+    The rows are partitioned by range and written; partitions are counted, and
+    each row is numbered within its own, so that no task sees more than a range.
+    """
+    part = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    r = stage(part.withColumn("_b", F.spark_partition_id()))
     n = r.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = n.withColumn("_s", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).select("_b", "_s")  # a row a bucket
-    k = F.row_number().over(Window.partitionBy("_b").orderBy(order_col)) - 1
-    return r.join(F.broadcast(before), "_b").withColumn("position", (F.col("_s") + k).cast("long")).drop("_b", "_s")
+    before = n.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_s"))  # a row a partition
+    k = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    return r.withColumn("_k", k).join(F.broadcast(before), "_b").withColumn("position", (F.col("_s") + F.col("_k")).cast("long")).drop("_b", "_s", "_k")

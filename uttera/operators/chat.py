@@ -27,10 +27,14 @@ def records(rows: DataFrame, prompts: DataFrame, families: tuple[str, ...] = ("q
     """(messages, audios, meta) of manifest rows (ID, wav, tun_slu_annotation, intent) for each family and subtask of ``prompts`` (subtask, prompt).
 
     For training, rows without gold of the subtask are left out and the answer
-    is the last turn.  Each row is read once and exploded.
+    is the last turn.  Each row is read once and exploded by the prompts, of
+    which there may be 100.
     """
-    f = F.explode(F.array(*[F.lit(x) for x in families])).alias("family")
-    r = rows.select("*", f).join(F.broadcast(prompts))  # a few prompts
+    given = [(r.subtask, r.prompt) for r in prompts.select("subtask", "prompt").limit(101).collect()]
+    if len(given) > 100:
+        raise ValueError("prompts: more than 100")
+    kinds = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("subtask"), F.lit(p).alias("prompt")) for f in families for s, p in given])
+    r = rows.select("*", F.inline(kinds))
     target = F.when(F.col("subtask") == "intent", json_target(gold(F.col("intent")))).otherwise(gold(F.col("tun_slu_annotation")))
     r = r.withColumn("_t", target)
     if training:

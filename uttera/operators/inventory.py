@@ -27,5 +27,5 @@ def counts_over(inventory: DataFrame, rows: DataFrame, col: str) -> DataFrame:
 def histogram(df: DataFrame, col: str) -> DataFrame:
     """(value, n, share), most common first, ties by value."""
     g = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    total = g.agg(F.sum("n").alias("total"))
-    return g.join(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("total")).alias("share")).orderBy(F.desc("n"), "value")
+    total = df.agg(F.count("*")).scalar()
+    return g.select("value", "n", (F.col("n") / total).alias("share")).orderBy(F.desc("n"), "value")

@@ -43,12 +43,12 @@ def ratio_cap(train: DataFrame, synth: DataFrame, ratio: float = 2.0, seed: int
     cell = F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(size // ranges))
     rare = F.broadcast(rare_labels(train, synth, least).withColumn("_rare", F.lit(True)))
     r = synth.join(rare, "intent", "left").withColumn("_rare", F.coalesce("_rare", F.lit(False))).withColumn("_h", h).withColumn("_c", cell)
-    cap = train.agg(F.floor(F.count("*") * ratio).alias("cap"))
+    cap = train.agg(F.floor(F.count("*") * ratio)).scalar()
     by = r.groupBy("_c").agg(F.count("*").alias("all"), F.count_if(~F.col("_rare")).alias("n"), F.count_if("_rare").alias("rare"))
     w = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     every = Window.partitionBy()
-    t = by.select("_c", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.sum("all").over(every).alias("total"), F.sum("rare").over(every).alias("n_rare")).join(F.broadcast(cap))
-    t = t.withColumn("room", F.when(F.col("total") <= F.col("cap"), F.col("total")).otherwise(F.greatest(F.lit(0), F.col("cap") - F.col("n_rare"))))
+    t = by.select("_c", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.sum("all").over(every).alias("total"), F.sum("rare").over(every).alias("n_rare"))
+    t = t.withColumn("cap", cap).withColumn("room", F.when(F.col("total") <= F.col("cap"), F.col("total")).otherwise(F.greatest(F.lit(0), F.col("cap") - F.col("n_rare"))))
     r = r.join(F.broadcast(t.select("_c", "n", "before", "room")), "_c")
     whole = r.where("_rare or before + n <= room")
     edge = r.where("not _rare and before + n > room and before < room")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,8 @@ def with_gold(df: DataFrame, gold_col: str) -> DataFrame:
 
 def last_n(df: DataFrame, seq_col: str, n: int) -> DataFrame:
     """``df`` with holdout: whether a row is among the last n in the order of seq."""
-    cut = df.select(seq_col).orderBy(F.desc(seq_col)).limit(n).agg(F.min(seq_col).alias("_c"), F.count("*").alias("_k"))
-    return df.join(F.broadcast(cut)).withColumn("holdout", (F.col("_k") > 0) & (F.col(seq_col) >= F.col("_c"))).drop("_c", "_k")
+    cut = df.select(seq_col).orderBy(F.desc(seq_col)).limit(n).agg(F.min(seq_col)).scalar()
+    return df.withColumn("holdout", F.coalesce(F.col(seq_col) >= cut, F.lit(False)))
 
 
 def random_split(df: DataFrame, id_col: str, percent: int = 1, seed: int = 42) -> DataFrame:
@@ -44,8 +44,3 @@ def random_split(df: DataFrame, id_col: str, percent: int = 1, seed: int = 42) -
 def shuffled(df: DataFrame, id_col: str, seed: int = 17) -> DataFrame:
     """``df`` in an order of the seed's hash that is the same on any cluster."""
     return df.orderBy(F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(id_col))), id_col)
-
-
-def ranked(df: DataFrame, by: list[Column], out: str = "rank") -> DataFrame:
-    """``df`` with its rank by a global order; for tables that fit a task, such as top lists."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*by)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uttera.functions.edits import cer, wer
 from uttera.functions.text import hash_mod
+from uttera.operators.batches import positions
 
 
 def scored(pairs: DataFrame, ref: str = "gold", hyp: str = "hyp") -> DataFrame:
@@ -28,8 +29,7 @@ def reference_pool(scores: DataFrame, most: float = 0.15, top: int = 0, always:
     if always:
         more = s.where(F.col("id").isin(*always)).join(best.select("id"), "id", "left_anti").withColumn("_late", F.lit(1))
         best = best.unionByName(more)
-    pos = F.row_number().over(Window.orderBy("_late", "wer", "first_seq")) - 1  # a pool fits a task: it's what every synthesis draws on
-    return best.withColumn("pos", pos).drop("_late")
+    return positions(best, ["_late", "wer", "first_seq"]).withColumnRenamed("position", "pos").drop("_late")
 
 
 def pool_stats(scores: DataFrame) -> DataFrame:

@@ -12,9 +12,8 @@ BARE = ("Emails", "set", "addcontact", "greet", "joke", "querycontact", "sendema
 
 
 def value_bank(rows: DataFrame, markup_col: str) -> DataFrame:
-    """(label, vals): the different slot values of each label, sorted."""
-    s = rows.select(F.inline(slots(F.col(markup_col)))).distinct()
-    return s.groupBy("label").agg(F.array_sort(F.collect_list("value")).alias("vals"))
+    """(label, value): the different slot values of each label, one a row, so that a label may have any number."""
+    return rows.select(F.inline(slots(F.col(markup_col)))).distinct()
 
 
 def label_combinations(rows: DataFrame, intent_col: str, markup_col: str, seq_col: str, top: int = 8) -> DataFrame:
@@ -25,11 +24,13 @@ def label_combinations(rows: DataFrame, intent_col: str, markup_col: str, seq_co
     return g.withColumn("rank", rank).where(F.col("rank") <= top).select("intent", "combo", "n", "rank")
 
 
-def seeds(rows: DataFrame, intent_col: str, seq_col: str, cols: list[str], most: int | None = None) -> DataFrame:
-    """(intent, seeds): each intent's rows in order; with ``most``, its first ones."""
-    r = rows
-    if most is not None:
-        r = r.withColumn("_k", F.row_number().over(Window.partitionBy(intent_col).orderBy(seq_col))).where(F.col("_k") <= most)
+def seeds(rows: DataFrame, intent_col: str, seq_col: str, cols: list[str], most: int = 100) -> DataFrame:
+    """(intent, seeds): each intent's first ``most`` rows in order, as a document of the pool holds them.
+
+    The limit is the feature: whole intents stay as rows.  Spark keeps only the
+    first rows of each intent before the shuffle.
+    """
+    r = rows.withColumn("_k", F.row_number().over(Window.partitionBy(intent_col).orderBy(seq_col))).where(F.col("_k") <= most)
     return r.groupBy(F.col(intent_col).alias("intent")).agg(F.array_sort(F.collect_list(F.struct(seq_col, *cols))).alias("seeds"))
 
 
@@ -42,7 +43,6 @@ def quotas(counts: DataFrame, bare: tuple[str, ...] = BARE, target: int = TARGET
     tier = F.when(is_bare, F.when(n == 0, 0).otherwise(F.least(F.lit(120), 20 * n))).when(n < 40, 400).when(n < 150, 250).otherwise(150)
     t = counts.withColumn("tier", tier.cast("long")).withColumn("bare", is_bare)
     s = t.agg(F.sum(F.when(F.col("bare"), F.col("tier")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("bare"), F.col("tier")).otherwise(0)).alias("r"))
-    scale = F.greatest(F.lit(0.1), (F.lit(target) - F.col("a")) / F.greatest(F.lit(1), F.col("r")))
-    out = t.join(F.broadcast(s.select(scale.alias("scale"))))
-    quota = F.when(F.col("bare"), F.col("tier")).otherwise(F.greatest(F.lit(40), F.floor(F.col("tier") * F.col("scale"))))
-    return out.select("label", "n", quota.cast("long").alias("quota"))
+    scale = s.select(F.greatest(F.lit(0.1), (F.lit(target) - F.col("a")) / F.greatest(F.lit(1), F.col("r")))).scalar()
+    quota = F.when(F.col("bare"), F.col("tier")).otherwise(F.greatest(F.lit(40), F.floor(F.col("tier") * scale)))
+    return t.select("label", "n", quota.cast("long").alias("quota"))

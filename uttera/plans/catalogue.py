@@ -109,6 +109,7 @@ def slot_combinations(s, d):
 
 @query
 def seed_pool(s, d):
+    """The first hundred seeds of each intent, as a pool's document holds them."""
     t = train(s, d).where("intent is not null and tun_transcription is not null")
     return seeds.seeds(t, "intent", "id", ["tun_transcription"]).select("intent", F.transform("seeds", lambda x: x.id).alias("ids"))
 
@@ -245,7 +246,7 @@ def reference_stats(s, d):
 
 @query
 def references_assigned(s, d):
-    pool = records.ranked(table(s, d, "name_list").where("given_name is not null"), [F.col("given_name"), F.col("script")], "k").select((F.col("k") - 1).alias("pos"), F.col("given_name").alias("ref_id"))
+    pool = batches.positions(table(s, d, "name_list").where("given_name is not null"), ["given_name", "script"]).select(F.col("position").alias("pos"), F.col("given_name").alias("ref_id"))
     items = table(s, d, "gen_kept").select("id").distinct()
     return reference_pool.assign(items, pool, 150).select("id", "pos", "ref_id")
 
@@ -375,7 +376,7 @@ def labels_replaced(s, d):
 def numeric_order(s, d):
     """Ids in the order of their numbers, with their place."""
     h = table(s, d, "heldout").select(F.concat(F.regexp_extract("id", r"(\d+)$", 1), F.lit("-"), "split").alias("id")).distinct()
-    return batches.positions(h.withColumn("k", text.number_prefix(F.col("id"))), "k").select("id", "position")
+    return batches.positions(h.withColumn("k", text.number_prefix(F.col("id"))), ["k"]).select("id", "position")
 
 
 @query
@@ -409,8 +410,9 @@ def classified(s, d):
 @query
 def best_checkpoints(s, d):
     """Events as training logs: a run for each user, the value as loss."""
-    logs = table(s, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("step"), F.when(F.col("event_type") != "click", F.col("value")).alias("eval_loss")))).alias("log_history"))
-    return checkpoints.best_steps(checkpoints.log_rows(logs)).select("run", "step", "eval_loss")
+    loss = F.when(F.col("event_type") != "click", F.col("value"))
+    rows = table(s, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("pos"), F.col("event_id").alias("step"), loss.alias("eval_loss"))
+    return checkpoints.best_steps(rows).select("run", "step", "eval_loss")
 
 
 @query
@@ -454,7 +456,7 @@ def holdout_rows(s, d):
 
 @query
 def chunked_rows(s, d):
-    return batches.chunks(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 10, shards=4).select("o_orderkey", "chunk", "shard")
+    return batches.chunks(table(s, d, "orders").select("o_orderkey"), ["o_orderkey"], 10, shards=4).select("o_orderkey", "chunk", "shard")
 
 
 @query

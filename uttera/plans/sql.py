@@ -133,10 +133,10 @@ SQL: dict[str, str] = {
     "intent_inventory": "select distinct trim(intent, ' ') as label from train where trim(intent, ' ') <> ''",
     "intent_counts": f"with {TRAIN} select t.intent as label, count(r.id) as n from intent_targets t left join train1 r on r.intent = t.intent group by 1",
     "intent_shares": "select intent as value, count(*) as n, count(*) / sum(count(*)) over () as share from synth group by 1",
-    "slot_values": f"select label, list(val order by val) as vals from (select distinct s.label as label, s.val as val from (select unnest({slots('tun_slu_annotation')}) as s from train)) group by 1",
+    "slot_values": f"select distinct s.label as label, s.val as value from (select unnest({slots('tun_slu_annotation')}) as s from train)",
     "slot_combinations": f"""with {TRAIN}, c as (select intent, cast(regexp_extract(id, '(\\d+)$', 1) as bigint) as seq, list_sort(list_transform({slots("coalesce(tun_slu_annotation, '')")}, lambda s: s.label)) as combo from train1 where intent is not null),
  g as (select intent, combo, count(*) as n, min(seq) as first from c group by 1, 2) select intent, combo, n, row_number() over (partition by intent order by n desc, first) as rank from g qualify rank <= 8""",
-    "seed_pool": f"with {TRAIN} select intent, list(id order by id) as ids from train1 where intent is not null and tun_transcription is not null group by 1",
+    "seed_pool": f"with {TRAIN} select intent, list(id order by id) as ids from (select intent, id from train1 where intent is not null and tun_transcription is not null qualify row_number() over (partition by intent order by id) <= 100) group by 1",
     "intent_quotas": f"with {QUOTAS} select label, n, quota from quo",
     "batch_plan": f"with {PLAN} select * from plan",
     "batch_plan_resumed": f"with {PLAN} select * from plan where batch_id not in (select meta.batch from gen_kept where meta.batch is not null)",
