@@ -20,6 +20,7 @@ bounded sample of labelled texts (``SAMPLE`` rows).
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -40,7 +41,9 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]
 ENTER = {"email": 4.0, "phone": 3.0, "id_number": 3.0, "address": 2.5, "person": 2.0}
 # Words that make a name that of a business, before it and after it.
 BUSINESS_BEFORE = ("clinique", "pharmacie", "restaurant", "boulangerie", "hôtel", "café", "avenue", "rue", "مقهى", "مطعم", "صيدلية", "نزل")
-BUSINESS_AFTER = ("bakery", "café", "pharmacy", "clinic", "hotel", "avenue", "street")
+BUSINESS_AFTER = frozenset(("bakery", "pharmacy", "clinic", "hotel", "avenue", "street"))
+# Offices, which titles may announce like names.
+OFFICES = ("المدير", "المديرة", "directeur", "directrice", "responsable", "la", "le", "the")
 # Words that make a number that of a ticket or an order.
 NOT_PERSONAL = ("ticket", "commande", "order", "ref", "réf.", "التذكرة", "version", "build")
 TITLES = ("m", "mme", "mlle", "mr", "mrs", "ms", "dr", "السيد", "السيدة")
@@ -158,7 +161,7 @@ def read_spans(tags: np.ndarray, at: int) -> list[tuple[int, int, str]]:
 
 
 def is_name(text: str, a: int, b: int, finder: Finder) -> bool:
-    """Whether a stretch of two words or more holds a listed name or stands beside a cue, and is no business's."""
+    """Whether a stretch of words holds a listed name or stands beside a cue, a single word after one; and is no business's."""
     low = lowered(text[max(0, a - 40) : b + 40])
     before, own, after = low[: min(a, 40)].rstrip(" "), low[min(a, 40) : min(a, 40) + b - a], low[min(a, 40) + b - a :].lstrip(" ")
     last = before.rsplit(None, 1)[-1] if before.split() else ""
@@ -166,19 +169,30 @@ def is_name(text: str, a: int, b: int, finder: Finder) -> bool:
     if last in BUSINESS_BEFORE or first in BUSINESS_AFTER:
         return False
     words = own.replace("-", " ").split()
-    if words and words[0] in BUSINESS_BEFORE:
+    if not words or words[0] in BUSINESS_BEFORE or words[0] in OFFICES or not BUSINESS_AFTER.isdisjoint(words):
         return False
     listed = any(w in finder.names and w not in finder.weak for w in words)
     if len(words) < 2:
-        return listed and before.endswith(finder.cues)
+        return before.endswith(finder.cues)
     return listed or before.endswith(finder.cues) or after.startswith(finder.cues) or last.rstrip(".") in TITLES
 
 
+def sentences(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """A tagged name cut where a sentence ends, which a point after an initial doesn't do."""
+    cut = [m.end() for m in re.finditer(r"\w{2}[.!?…]\s|\n", text[a:b])]
+    return [(a + x, a + y) for x, y in zip([0, *cut], [*cut, b - a], strict=True) if y > x]
+
+
 def checked(text: str, a: int, b: int, kind: str, finder: Finder) -> tuple[int, int, str] | None:
     """The exact ends and kind of a tagged span, or None if it hasn't the format of its kind.
 
-    A number tagged as a phone that only has the format of an identity number is one, and the other way round.
+    A number tagged as a phone that only has the format of an identity number is
+    one, and the other way round; a name that is part of an email is that email.
     """
+    if kind == "person":
+        for m in EMAIL.finditer(text, max(0, a - 24), min(len(text), b + 64)):
+            if m.start() < b and m.end() > a:
+                return m.start(), m.end(), "email"
     if kind == "person":
         while a and text[a - 1].isalpha() and text[a].isalpha():
             a -= 1
@@ -237,7 +251,7 @@ def find(texts: list[str | None], names: Iterable[str] = (), whole: bool = False
     out = []
     for text, spans in zip(texts, found, strict=True):
         done: list[tuple[int, int, str]] = []
-        for a, b, kind in spans:
+        for a, b, kind in [(x, y, k) for a, b, k in spans for x, y in (sentences(text, a, b) if k == "person" else [(a, b)])]:
             x = checked(text, a, b, kind, finder)
             if x and not any(x[0] < e and s < x[1] for s, e, _ in done):
                 done.append(x)
