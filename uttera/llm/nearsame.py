@@ -7,10 +7,10 @@ records has, so a pair of similarity t or more lies within
 (1 - t) / (1 + t) x (pieces of both).  Grid range-join: the segments are dealt
 into blocks, and a cell of the grid is a block with its counts; since distances
 of that size leave many blocks untouched, similar records share cells.
-ROUNDS independent deals make a miss at similarity 0.65 rarer than one in ten
-thousand for usual lengths (tests/llm and the README have the measured recall).
-Pairs that share a cell meet the Manhattan bound over SEGMENTS coarse segments
-and then the exact similarity.
+ROUNDS independent deals of which a pair must share LEAST cells make a miss at
+similarity 0.65 rarer than one in ten thousand for usual lengths (tests/llm and
+the README have the measured recall).  Such pairs meet the Manhattan bound over
+SEGMENTS coarse segments and then the exact similarity.
 
 Pieces of more than COMMON of all texts take no part in cells (they do in the
 bound and in the similarity), but in those of texts which have hardly others.
@@ -30,7 +30,7 @@ from uttera.llm.merkle import digests
 from uttera.llm.pieces import SIMILAR, mix, pieces, plain_col
 from uttera.session import stage
 
-ROUNDS = 3
+ROUNDS, LEAST = 4, 2
 #: Length classes by number of pieces: upper end, blocks.  The last has no end.
 CLASSES = ((96, 18), (384, 56), (1536, 220), (1 << 62, 880))
 COMMON = 0.005
@@ -124,7 +124,9 @@ def near_same(records: DataFrame, threshold: float = SIMILAR) -> dict[str, DataF
             yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(c)], ["key", "cell"])
 
     grid = classes.select("key", "p").mapInArrow(dealt, "key long, cell long")
-    pairs = grid.toDF("key_a", "cell").join(grid.toDF("key_b", "cell"), "cell").where("key_a < key_b").select("key_a", "key_b").distinct()
+    pairs = grid.toDF("key_a", "cell").join(grid.toDF("key_b", "cell"), "cell").where("key_a < key_b")
+    # random pairs mostly share one cell, similar ones many
+    pairs = pairs.groupBy("key_a", "key_b").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("key_a", "key_b")
 
     @F.pandas_udf("double")
     def exact(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
