@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from uttera.functions.text import squeeze, strip
+from uttera.functions.text import let, squeeze, strip
 
 LABEL = r"<([^<>/\s]+)>"
 
@@ -18,7 +18,10 @@ def parse(c: Column, inventory: Column) -> Column:
     array of the labels allowed.  The string is cut at ``>``: each piece of even
     place must end in an open label, but for the last; the piece after it is the value.
     """
-    p = F.split(c, ">", -1)
+    return F.when(c.isNotNull(), let(F.split(c, ">", -1), lambda p: _parsed(p, inventory)))
+
+
+def _parsed(p: Column, inventory: Column) -> Column:
     n = F.size(p)
 
     def one(s: Column, i: Column) -> Column:
@@ -33,12 +36,16 @@ def parse(c: Column, inventory: Column) -> Column:
         head = F.regexp_replace(s, r"<[a-z_]+$", "")
         return F.struct(i.alias("i"), why.alias("why"), label.alias("label"), value.alias("value"), head.alias("head"))
 
-    pairs = F.filter(F.transform(p, one), lambda x: (x.i % 2 == 0) & (x.i + 1 < n))
+    cut = F.filter(F.transform(p, one), lambda x: (x.i % 2 == 0) & (x.i + 1 < n))
+    return let(cut, lambda pairs: _joined(p, n, pairs))
+
+
+def _joined(p: Column, n: Column, pairs: Column) -> Column:
     why = F.get(F.filter(F.transform(pairs, lambda x: x.why), lambda w: w.isNotNull()), F.lit(0))
     slots = F.transform(pairs, lambda x: F.struct(x.label.alias("label"), x.value.alias("value")))
     tail = F.when(n % 2 == 1, F.get(p, n - 1)).otherwise(F.lit(""))
     text = squeeze(F.concat(F.array_join(F.transform(pairs, lambda x: F.concat(x["head"], F.lit(" "), x.value, F.lit(" "))), ""), tail))
-    return F.when(c.isNotNull(), F.struct(why.alias("reason"), F.when(why.isNull(), slots).alias("slots"), F.when(why.isNull(), text).alias("text")))
+    return F.struct(why.alias("reason"), F.when(why.isNull(), slots).alias("slots"), F.when(why.isNull(), text).alias("text"))
 
 
 def slots(c: Column) -> Column:

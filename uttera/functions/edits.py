@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from uttera.functions.text import score_form, tokens
+from uttera.functions.text import let, score_form, tokens
 
 FIRST = 0x4E00
 
 
 def sequence_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of two arrays of strings: each different element becomes one character."""
-    v = F.array_distinct(F.concat(a, b))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.lit(FIRST) + F.array_position(v, w)).cast("long")), 4, "0")), "UTF-16BE")
-    join = lambda x: F.array_join(F.transform(x, code), "")
-    return F.levenshtein(join(a), join(b))
+    code = lambda v, w: F.decode(F.unhex(F.lpad(F.hex((F.lit(FIRST) + F.array_position(v, w)).cast("long")), 4, "0")), "UTF-16BE")
+    join = lambda v, x: F.array_join(F.transform(x, lambda w: code(v, w)), "")
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return let(both, lambda x: let(F.array_distinct(F.concat(x.a, x.b)), lambda v: F.levenshtein(join(v, x.a), join(v, x.b))))
 
 
 def wer(ref: Column, hyp: Column) -> Column:
     """Word error rate on the score form, uncapped; without reference words the number of words heard."""
-    r, h = tokens(score_form(ref)), tokens(score_form(hyp))
-    return sequence_distance(r, h) / F.greatest(F.size(r), F.lit(1))
+    words = F.struct(tokens(score_form(ref)).alias("r"), tokens(score_form(hyp)).alias("h"))
+    return let(words, lambda x: sequence_distance(x.r, x.h) / F.greatest(F.size(x.r), F.lit(1)))
 
 
 def cer(ref: Column, hyp: Column) -> Column:

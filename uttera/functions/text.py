@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ ARABIC = r"[؀-ۿ]"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a lambda would compute an expression from outside for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trims white space of any kind; null stays null."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -40,8 +47,8 @@ def n_tokens(c: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct three-character pieces without white space; a shorter text is its own only piece, the empty one too."""
-    s = F.regexp_replace(c, r"(?U)\s+", "")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 2)), lambda i: F.substring(s, i, F.lit(3))))
+    bare = F.regexp_replace(c, r"(?U)\s+", "")
+    return let(bare, lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 2)), lambda i: F.substring(s, i, F.lit(3)))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -86,9 +93,8 @@ def score_form(c: Column) -> Column:
 def hash_mod(c: Column, n: Column | int) -> Column:
     """The SHA-1 of a text, as one 160-bit integer, modulo n."""
     n = F.lit(n) if isinstance(n, int) else n
-    h = F.sha1(c)
-    digit = lambda i: (F.instr(F.lit("0123456789abcdef"), F.substring(h, i, F.lit(1))) - 1).cast("long")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(0).cast("long"), lambda a, i: F.pmod(a * 16 + digit(i), n.cast("long")))
+    digit = lambda h, i: (F.instr(F.lit("0123456789abcdef"), F.substring(h, i, F.lit(1))) - 1).cast("long")
+    return let(F.sha1(c), lambda h: F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(0).cast("long"), lambda a, i: F.pmod(a * 16 + digit(h, i), n.cast("long"))))
 
 
 def scenario(c: Column) -> Column:

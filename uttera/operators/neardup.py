@@ -47,7 +47,7 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 def near_gold(items: DataFrame, gold: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """``items`` (intent, text, ...) with near_gold: whether a gold text of the intent is similar.  Null texts and intents are none."""
-    pairs = similar(_sets(items.where("text is not null")), _sets(gold.where("text is not null")), t)
+    pairs = similar(stage(_sets(items.where("text is not null"))), stage(_sets(gold.where("text is not null"))), t)
     hit = pairs.select("intent", F.col("key_a").alias("_key"), F.lit(True).alias("_hit")).distinct()
     return _keyed(items).join(hit, ["intent", "_key"], "left").withColumn("near_gold", F.coalesce("_hit", F.lit(False))).drop("_hit", "_key")
 
