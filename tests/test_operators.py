@@ -214,3 +214,16 @@ def test_inventory(spark):
 def test_funnel(spark):
     f = scoring.funnel([("a", spark.range(4)), ("b", spark.range(2)), ("c", spark.range(0))]).orderBy("pos").collect()
     assert [(r.stage, r.n, r.share) for r in f] == [("a", 4, None), ("b", 2, 0.5), ("c", 0, 0.0)]
+
+
+def test_picks(spark):
+    plan = spark.createDataFrame([("b1", "x", 30), ("b2", "z", 5)], "batch_id string, intent string, n int")
+    pool = spark.createDataFrame([("x", k, f"c{k}") for k in range(4)], "intent string, pos int, item string")
+    got = batches.picks(plan, pool).collect()
+    assert len(got) == 30 and len({r.place for r in got}) == 30 and len({r.item for r in got}) > 1
+
+
+def test_rarest_and_within(spark):
+    df = spark.createDataFrame([("x",), ("y",), ("x",), ("a",)], "v string")
+    assert [r.value for r in inventory.rarest(df, "v", 2).collect()] == ["a", "y"]
+    assert chat.within(spark.createDataFrame([("a b c",), ("a",)], "t string"), "t", 2).count() == 1

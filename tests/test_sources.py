@@ -104,3 +104,31 @@ def test_stream_dedup(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.id for r in spark.table("seen").collect()) == ["a", "b"]
+
+
+def test_tensors(spark, tmp_path):
+    from uttera.sources import tensors
+
+    rows = [("a", r, c, float(r * 3 + c)) for r in range(2) for c in range(3)] + [("b", 0, 0, 7.0), ("c", 0, 1, -1.5)]
+    df = spark.createDataFrame(rows, tensors.ENTRIES)
+    where = tensors.write_tensors(df, str(tmp_path / "t"), 2)
+    assert set(where) == {"a", "b", "c"} and len(set(where.values())) == 2
+    got = {tuple(r) for r in tensors.read_tensors(spark, str(tmp_path / "t")).where("val <> 0").collect()}
+    assert got == {r for r in rows if r[3]}
+
+
+def test_prompt_book(tmp_path):
+    from uttera.sources import prompt_book
+
+    p = str(tmp_path / "book.txt")
+    assert not prompt_book.is_current({"x": "y"}, p)
+    prompt_book.write({"x": "y", "a": "b\n"}, p)
+    assert prompt_book.is_current({"a": "b", "x": "y"}, p) and not prompt_book.is_current({"a": "c", "x": "y"}, p)
+
+
+def test_stage(spark):
+    from uttera.session import shared_dir, stage
+
+    df = stage(spark.range(5).withColumn("x", F.array(F.col("id"))))
+    assert df.count() == 5 and shared_dir(spark) == shared_dir(spark)
+    assert stage(df.limit(0)).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from uttera.functions.text import hash_mod
 from uttera.session import stage
 
 BATCH, PARAPHRASES, SEED, SHOTS = 20, 60, 17, 6
@@ -52,6 +53,19 @@ def shots(plan: DataFrame, pool: DataFrame, seed: int = SEED, k: int = SHOTS, pe
     return plan.select("batch_id", "intent").join(p, "intent").withColumn("pos", pos).where(F.col("pos") <= k).select("batch_id", "id", "pos")
 
 
+def picks(plan: DataFrame, pool: DataFrame, seed: int = SEED) -> DataFrame:
+    """(batch_id, place, item): for each place of a batch one item of its intent's pool, with replacement.
+
+    ``pool`` is (intent, pos, item), pos from 0 without gaps; which item it is
+    follows from the hash of seed, batch and place.
+    """
+    size = pool.groupBy("intent").agg((F.max("pos") + 1).cast("int").alias("_n"))
+    p = plan.join(size, "intent").select("batch_id", "intent", "_n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("place"))
+    key = F.concat_ws(":", F.lit(str(seed)), "batch_id", F.col("place").cast("string"))
+    p = p.withColumn("pos", hash_mod(key, F.col("_n")).cast("int"))
+    return p.join(pool.withColumn("pos", F.col("pos").cast("int")), ["intent", "pos"]).select("batch_id", "place", "item")
+
+
 def chunks(rows: DataFrame, order: list[str | Column], size: int, shards: int = 1) -> DataFrame:
     """``rows`` with chunk and shard by position in the order: position div size, position mod shards."""
     return positions(rows, order).withColumn("chunk", F.floor(F.col("position") / size)).withColumn("shard", F.col("position") % shards)

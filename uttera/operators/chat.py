@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttera.functions.text import gold, json_target, text_or_empty, with_marker
+from uttera.functions.text import gold, json_target, n_tokens, text_or_empty, with_marker
 
 AUDIO = "<audio>"
 
@@ -60,6 +60,11 @@ def joint_targets(rows: DataFrame) -> DataFrame:
     return rows.select("ID", F.inline(pair)).where("target is not null")
 
 
+def within(df: DataFrame, col: str, most: int = 225) -> DataFrame:
+    """Rows whose target has at most ``most`` words."""
+    return df.where(n_tokens(F.col(col)) <= most)
+
+
 def reprompted(chats: DataFrame, prompt: str, suffix: str = "_open") -> DataFrame:
     """``chats`` with the user's and system's prompt exchanged; the sound keeps its place, the split's name gets a suffix."""
     after = lambda c: F.endswith(c, F.lit(AUDIO))

@@ -24,6 +24,11 @@ def counts_over(inventory: DataFrame, rows: DataFrame, col: str) -> DataFrame:
     return inventory.select("label").join(n, "label", "left").fillna(0, ["n"])
 
 
+def rarest(df: DataFrame, col: str, n: int = 8) -> DataFrame:
+    """(value, n) of the ``n`` least common values, ties by value."""
+    return df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n")).orderBy("n", "value").limit(n)
+
+
 def histogram(df: DataFrame, col: str) -> DataFrame:
     """(value, n, share), most common first, ties by value."""
     g = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from uttera.functions.annotation import slots
 
 TARGET = 12_000
+# Labels that name only an action.
 BARE = ("Emails", "set", "addcontact", "greet", "joke", "querycontact", "sendemail", "quirky", "query")
 
 

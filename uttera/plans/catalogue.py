@@ -142,6 +142,18 @@ def batch_shots(s, d):
     return batches.shots(_plan(s, d), pool)
 
 
+@query
+def batch_combinations(s, d):
+    """A label list for each place of the coverage batches, drawn with replacement from the intent's most frequent ones."""
+    pool = slot_combinations(s, d).select("intent", (F.col("rank") - 1).alias("pos"), F.array_join("combo", ",").alias("item"))
+    return batches.picks(_plan(s, d).where("mode = 'coverage'"), pool)
+
+
+@query
+def rarest_intents(s, d):
+    return inventory.rarest(train(s, d).where("intent is not null"), "intent")
+
+
 @query
 def item_ids(s, d):
     """Ids built from the batch and the position of the items of a batch."""

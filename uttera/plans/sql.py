@@ -123,6 +123,9 @@ CLIPS = f"""clips as (select vec_id, len(embedding) / 16.0::double as dur, sqrt(
 
 MIX = "y as (select id as \"ID\", min(intent) as intent, min(duration) as duration from synth group by id)"
 
+COMBOS = f"""c0 as (select intent, cast(regexp_extract(id, '(\\d+)$', 1) as bigint) as seq, list_sort(list_transform({slots("coalesce(tun_slu_annotation, '')")}, lambda s: s.label)) as combo from train1 where intent is not null),
+ c1 as (select intent, combo, count(*) as n, min(seq) as first from c0 group by 1, 2), combos as (select intent, combo, n, row_number() over (partition by intent order by n desc, first) as rank from c1 qualify rank <= 8)"""
+
 ABSTENTIONS = f"""with syn as (select id, min(intent) as said, regexp_replace(id, '_ft$', '') as item from synth group by id), p as (select syn.id, {strip('said')} as said from syn join (select distinct id from gen_kept) g on g.id = item),
  c as (select id, case said when 'chat' then 'general_chat' when 'lamp' then 'lamp_switch' else said end as i from p),
  r as (select id, i, case when i is null then 'unparseable' when i = 'general_chat' then 'catch_all' when i not in (select intent from intent_targets) or split_part(i, '_', 1) not in ('timer', 'reminder', 'bus', 'lamp', 'recipe') then 'out_of_scope' else 'keep' end as rule from c)
@@ -134,14 +137,17 @@ SQL: dict[str, str] = {
     "intent_counts": f"with {TRAIN} select t.intent as label, count(r.id) as n from intent_targets t left join train1 r on r.intent = t.intent group by 1",
     "intent_shares": "select intent as value, count(*) as n, count(*) / sum(count(*)) over () as share from synth group by 1",
     "slot_values": f"select distinct s.label as label, s.val as value from (select unnest({slots('tun_slu_annotation')}) as s from train)",
-    "slot_combinations": f"""with {TRAIN}, c as (select intent, cast(regexp_extract(id, '(\\d+)$', 1) as bigint) as seq, list_sort(list_transform({slots("coalesce(tun_slu_annotation, '')")}, lambda s: s.label)) as combo from train1 where intent is not null),
- g as (select intent, combo, count(*) as n, min(seq) as first from c group by 1, 2) select intent, combo, n, row_number() over (partition by intent order by n desc, first) as rank from g qualify rank <= 8""",
+    "slot_combinations": f"with {TRAIN}, {COMBOS} select * from combos",
     "seed_pool": f"with {TRAIN} select intent, list(id order by id) as ids from (select intent, id from train1 where intent is not null and tun_transcription is not null qualify row_number() over (partition by intent order by id) <= 100) group by 1",
     "intent_quotas": f"with {QUOTAS} select label, n, quota from quo",
     "batch_plan": f"with {PLAN} select * from plan",
     "batch_plan_resumed": f"with {PLAN} select * from plan where batch_id not in (select meta.batch from gen_kept where meta.batch is not null)",
     "batch_shots": f"""with {PLAN}, pool as (select intent, id from train1 where intent is not null qualify row_number() over (partition by intent order by sha1('17:' || id), id) <= 64)
  select batch_id, id, row_number() over (partition by batch_id order by sha1('17:' || batch_id || ':' || id), id) as pos from plan join pool using (intent) qualify pos <= 6""",
+    "batch_combinations": f"""with {PLAN}, {COMBOS}, pool as (select intent, rank - 1 as pos, array_to_string(combo, ',') as item from combos), size as (select intent, max(pos) + 1 as n from pool group by 1),
+ p as (select batch_id, intent, size.n as m, unnest(range(0, plan.n)) as place from plan join size using (intent) where mode = 'coverage'), q as (select *, {SHA.format("'17:' || batch_id || ':' || place", 'm')} as pos from p)
+ select batch_id, cast(place as int) as place, item from q join pool using (intent, pos)""",
+    "rarest_intents": f"with {TRAIN} select intent as value, count(*) as n from train1 where intent is not null group by 1 order by n, value limit 8",
     "item_ids": r"select id, 'synth_' || replace(batch, ':', '_') || '_' || lpad(cast(p as varchar), greatest(3, length(cast(p as varchar)))::int, '0') as built from (select id, min(meta.batch) as batch, cast(regexp_extract(id, '(\d+)$', 1) as int) as p from gen_kept where meta.batch is not null group by id)",
     "markup_parsed": f"""with src as (select seq, annotated as a from gen_kept),{parsed('a')}
  select seq, reason, case when reason is null and a is not null then len(pr) end as n_slots, case when reason is null and a is not null then '[' || coalesce(list_aggregate(list_transform(pr, lambda q: '{{"label":' || to_json(q.label) || ',"value":' || to_json(q.val) || '}}'), 'string_agg', ','), '') || ']' end as slots, parsed_text as text from p3""",
