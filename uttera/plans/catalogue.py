@@ -27,6 +27,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(sql.SQL)
 
 
+def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    """Sums of floats depend on their order in the last digits; rounded, they are the same on any cluster."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -253,7 +258,7 @@ def reference_best(s, d):
 
 @query
 def reference_stats(s, d):
-    return reference_pool.pool_stats(reference_pool.scored(transcripts(s, d)))
+    return rounded(reference_pool.pool_stats(reference_pool.scored(transcripts(s, d))), "mean")
 
 
 @query
@@ -266,13 +271,13 @@ def references_assigned(s, d):
 @query
 def duration_filtered(s, d):
     t = table(s, d, "train").withColumn("d", F.col("duration").cast("string"))
-    return t.where(records.duration_between(F.col("d"))).groupBy("intent").agg(F.count("*").alias("n"), F.sum("duration").alias("seconds"))
+    return rounded(t.where(records.duration_between(F.col("d"))).groupBy("intent").agg(F.count("*").alias("n"), F.sum("duration").alias("seconds")), "seconds")
 
 
 @query
 def acoustic_measures(s, d):
     e = table(s, d, "embeddings").withColumn("text", F.lpad(F.lit(""), 20, "x"))
-    return acoustic.measures(e, "embedding", 16, "text", frame=8, loud=0.12).select("vec_id", "dur", "rms", "clip", "activity", "sec_per_char")
+    return rounded(acoustic.measures(e, "embedding", 16, "text", frame=8, loud=0.12).select("vec_id", "dur", "rms", "clip", "activity", "sec_per_char"), "rms")
 
 
 @query
@@ -306,7 +311,7 @@ def training_mix(s, d):
     t = train(s, d).select(F.col("id").alias("ID"), "intent", "duration")
     y = table(s, d, "synth").groupBy(F.col("id").alias("ID")).agg(F.min("intent").alias("intent"), F.min("duration").alias("duration"))
     m = mixing.mix({"real": t, "synthetic": y}, ["ID", "intent", "duration"])
-    return m.groupBy("origin", "intent").agg(F.count("*").alias("n"), F.sum("duration").alias("seconds"))
+    return rounded(m.groupBy("origin", "intent").agg(F.count("*").alias("n"), F.sum("duration").alias("seconds")), "seconds")
 
 
 # -- scoring -------------------------------------------------------------------------
@@ -327,7 +332,7 @@ def intent_confusion(s, d):
 @query
 def intent_scores_exact(s, d):
     """Scores where a name must equal a label but for case."""
-    return scoring.scores(responses.predicted_intent(predictions(s, d), "response", intent_list(s, d), cutoff=None))
+    return rounded(scoring.scores(responses.predicted_intent(predictions(s, d), "response", intent_list(s, d), cutoff=None)), "accuracy", "macro_f1", "weighted_f1")
 
 
 @query
@@ -340,7 +345,7 @@ def event_scores(s, d):
     """Each user's previous event as the prediction of the next, as four runs of users."""
     w = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     e = table(s, d, "events").select((F.col("user_id") % 4).alias("run"), F.col("event_type").alias("gold"), w.alias("pred"))
-    return scoring.scores(e, by=("run",))
+    return rounded(scoring.scores(e, by=("run",)), "accuracy", "macro_f1", "weighted_f1")
 
 
 @query

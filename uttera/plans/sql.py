@@ -168,22 +168,22 @@ SQL: dict[str, str] = {
     "panel_verdicts": f"with {VERDICTS} select item_id, cast(count(*) as int) as n, string_agg(annotator, ',' order by annotator) as annotators from v group by 1",
     "unjudged_items": "select distinct id from gen_kept where id is not null and id not in (select item_id from gen_judged where item_id is not null)",
     "transcript_scores": f"with {TRANSCRIPTS} select id, wer from ts",
-    "intent_scores_exact": f"with {PRED}, {pairs_scores('pred')} select sum(tp) / sum(support) as accuracy, avg(f1) as macro_f1, sum(f1 * support) / sum(support) as weighted_f1, cast(sum(support) as bigint) as scored from lsc where support > 0",
+    "intent_scores_exact": f"with {PRED}, {pairs_scores('pred')} select round(sum(tp) / sum(support), 6) as accuracy, round(avg(f1), 6) as macro_f1, round(sum(f1 * support) / sum(support), 6) as weighted_f1, cast(sum(support) as bigint) as scored from lsc where support > 0",
     "intent_confusion_exact": f"with {PRED}, {pairs_scores('pred')} select * from lsc",
     "classified": f"with {PRED} select id, coalesce(said, response) as hyp, nullif({strip('gold')}, '') as ref from named",
     "reference_best": f"with {TRANSCRIPTS} select cast(row_number() over (order by wer, seq) - 1 as int) as pos, id, wer from ts qualify pos < 150",
-    "reference_stats": f"with {TRANSCRIPTS} select count(*) as n, min(wer) as least, median(wer) as median, avg(wer) as mean from ts",
+    "reference_stats": f"with {TRANSCRIPTS} select count(*) as n, min(wer) as least, median(wer) as median, round(avg(wer), 6) as mean from ts",
     "references_assigned": f"with pool as (select cast(row_number() over (order by given_name, script) - 1 as int) as pos, given_name as ref_id from name_list where given_name is not null), i as (select distinct id, cast({SHA.format('id', 150)} as int) as pos from gen_kept) select id, pos, ref_id from i join pool using (pos)",
-    "duration_filtered": "select intent, count(*) as n, sum(duration) as seconds from train where duration between 2.5 and 10 group by 1",
-    "acoustic_measures": f"with {CLIPS} select * from clips",
+    "duration_filtered": "select intent, count(*) as n, round(sum(duration), 6) as seconds from train where duration between 2.5 and 10 group by 1",
+    "acoustic_measures": f"with {CLIPS} select vec_id, dur, round(rms, 6) as rms, clip, activity, sec_per_char from clips",
     "acoustic_gate": f"with {CLIPS} select vec_id, coalesce(dur between 0.4 and 30 and rms >= 0.01 and clip < 0.05 and activity >= 0.5 and sec_per_char between 0.04 and 0.4, false) as sound from clips",
     "rendition_rows": "select g.id || s as \"ID\", 'aug/' || w || '/' || g.id || '.wav' as wav, intent from (select id, min(intent) as intent from gen_kept group by id) g, (values ('wav', ''), ('wav_ft', '_ft')) x(w, s) where 'aug/' || w || '/' || g.id || '.wav' in (select wav from synth where wav is not null)",
     "ratio_capped": f"""with {TRAIN}, {MIX}, tc as (select intent, count(*) as n from train1 group by 1), rare as (select intent from tc where n < 10 union select intent from y where intent not in (select intent from tc where intent is not null)),
  z as (select "ID", intent, coalesce(intent in (select intent from rare where intent is not null), false) as rare from y), lim as (select floor((select count(*) from train1) * 2.0) as cap, (select count(*) from z) as total, (select count(*) from z where rare) as nr),
  r as (select z.*, cap, total, nr, row_number() over (partition by rare order by sha1('17:' || "ID"), "ID") as k from z, lim) select "ID", intent from r where total <= cap or rare or k <= greatest(0, cap - nr)""",
     "rare_intents": f"with {TRAIN}, tc as (select intent, count(*) as n from train1 group by 1) select intent from tc where n < 10 union select distinct intent from synth where not exists (select 1 from tc where tc.intent = synth.intent)",
-    "training_mix": f"with {TRAIN}, {MIX} select origin, intent, count(*) as n, sum(duration) as seconds from (select 'real' as origin, intent, duration from train1 union all select 'synthetic', intent, duration from y) group by 1, 2",
-    "event_scores": f"with e as (select user_id % 4 as run, event_type as gold, lag(event_type) over (partition by user_id order by ts, event_id) as pred from events), {pairs_scores('e', 'run')} select run, sum(tp) / sum(support) as accuracy, avg(f1) as macro_f1, sum(f1 * support) / sum(support) as weighted_f1, cast(sum(support) as bigint) as scored from lsc where support > 0 group by 1",
+    "training_mix": f"with {TRAIN}, {MIX} select origin, intent, count(*) as n, round(sum(duration), 6) as seconds from (select 'real' as origin, intent, duration from train1 union all select 'synthetic', intent, duration from y) group by 1, 2",
+    "event_scores": f"with e as (select user_id % 4 as run, event_type as gold, lag(event_type) over (partition by user_id order by ts, event_id) as pred from events), {pairs_scores('e', 'run')} select run, round(sum(tp) / sum(support), 6) as accuracy, round(avg(f1), 6) as macro_f1, round(sum(f1 * support) / sum(support), 6) as weighted_f1, cast(sum(support) as bigint) as scored from lsc where support > 0 group by 1",
     "gold_filled": f"with m as (select id, arg_max(intent, rendered_at) filter (where rendered_at is not null) as i from synth group by id), s2 as (select id, regexp_replace(id, '_ft$', '') as item from (select distinct id from synth)) select nullif({strip('i')}, '') as gold, count(*) as n from s2 join (select distinct id from gen_kept) g on g.id = s2.item join m on m.id = s2.id group by 1",
     "abstentions": ABSTENTIONS,
     "abstention_rules": f"select rule as value, count(*) as n, count(*) / sum(count(*)) over () as share from ({ABSTENTIONS}) group by 1",
