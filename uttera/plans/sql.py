@@ -170,6 +170,7 @@ SQL: dict[str, str] = {
     "transcript_scores": f"with {TRANSCRIPTS} select id, wer from ts",
     "intent_scores_exact": f"with {PRED}, {pairs_scores('pred')} select round(sum(tp) / sum(support), 6) as accuracy, round(avg(f1), 6) as macro_f1, round(sum(f1 * support) / sum(support), 6) as weighted_f1, cast(sum(support) as bigint) as scored from lsc where support > 0",
     "intent_confusion_exact": f"with {PRED}, {pairs_scores('pred')} select * from lsc",
+    "result_accounting": f"with {PRED} select count(*) as total, count(gold) as scored, count(*) filter (where said is null) as unparsed from named",
     "classified": f"with {PRED} select id, coalesce(said, response) as hyp, nullif({strip('gold')}, '') as ref from named",
     "reference_best": f"with {TRANSCRIPTS} select cast(row_number() over (order by wer, seq) - 1 as int) as pos, id, wer from ts qualify pos < 150",
     "reference_stats": f"with {TRANSCRIPTS} select count(*) as n, min(wer) as least, median(wer) as median, round(avg(wer), 6) as mean from ts",
