@@ -46,10 +46,10 @@ def intent_list(spark: SparkSession, d: str) -> list[str]:
     return [r[0] for r in table(spark, d, "intent_targets").select("intent").where("intent is not null").distinct().orderBy("intent").collect()]
 
 
-def train(spark: SparkSession, d: str) -> DataFrame:
-    """train, one row an id, with the stripped intent."""
-    t = table(spark, d, "train").select("id", "tun_transcription", "tun_slu_annotation", "intent", "wav", "duration")
-    return t.groupBy("id").agg(F.min(F.struct("tun_transcription", "tun_slu_annotation", "intent", "wav", "duration")).alias("r")).select("id", "r.*")
+def train(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """(id, *cols) of train, one row an id; only these columns are read."""
+    t = table(spark, d, "train").select("id", *cols)
+    return t.groupBy("id").agg(F.min(F.struct(*cols)).alias("r")).select("id", "r.*")
 
 
 def checked(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
     """(id, seq, gold, hyp): each training text against the one before it."""
-    t = train(spark, d).where("tun_transcription is not null").select("id", F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("seq"), F.col("tun_transcription").alias("gold"))
+    t = train(spark, d, "tun_transcription").where("tun_transcription is not null").select("id", F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("seq"), F.col("tun_transcription").alias("gold"))
     return t.join(t.select((F.col("seq") + 1).alias("seq"), F.col("gold").alias("hyp")), "seq").select("id", "seq", "gold", "hyp")
 
 
@@ -93,7 +93,7 @@ def intent_inventory(s, d):
 
 @query
 def intent_counts(s, d):
-    return inventory.counts_over(table(s, d, "intent_targets").select(F.col("intent").alias("label")), train(s, d), "intent")
+    return inventory.counts_over(table(s, d, "intent_targets").select(F.col("intent").alias("label")), train(s, d, "intent"), "intent")
 
 
 @query
@@ -108,14 +108,14 @@ def slot_values(s, d):
 
 @query
 def slot_combinations(s, d):
-    t = train(s, d).where("intent is not null").withColumn("seq", F.regexp_extract("id", r"(\d+)$", 1).cast("long"))
+    t = train(s, d, "intent", "tun_slu_annotation").where("intent is not null").withColumn("seq", F.regexp_extract("id", r"(\d+)$", 1).cast("long"))
     return seeds.label_combinations(t, "intent", "tun_slu_annotation", "seq")
 
 
 @query
 def seed_pool(s, d):
     """The first hundred seeds of each intent, as a pool's document holds them."""
-    t = train(s, d).where("intent is not null and tun_transcription is not null")
+    t = train(s, d, "intent", "tun_transcription").where("intent is not null and tun_transcription is not null")
     return seeds.seeds(t, "intent", "id", ["tun_transcription"]).select("intent", F.transform("seeds", lambda x: x.id).alias("ids"))
 
 
@@ -125,7 +125,7 @@ def intent_quotas(s, d):
 
 
 def _plan(s, d):
-    t = train(s, d).where("intent is not null")
+    t = train(s, d, "intent", "tun_slu_annotation").where("intent is not null")
     have = t.groupBy(F.col("intent").alias("label")).agg(F.max(F.size(annotation.slots(F.coalesce("tun_slu_annotation", F.lit("")))) == 0).alias("bare"))
     q = intent_quotas(s, d).join(have, "label", "left")
     return batches.batch_plan(q.select(F.col("label").alias("intent"), "quota", F.col("bare").isNotNull().alias("has_seeds"), F.coalesce("bare", F.lit(True)).alias("plain")))
@@ -143,7 +143,7 @@ def batch_plan_resumed(s, d):
 
 @query
 def batch_shots(s, d):
-    pool = train(s, d).where("intent is not null").select("intent", "id")
+    pool = train(s, d, "intent").where("intent is not null").select("intent", "id")
     return batches.shots(_plan(s, d), pool)
 
 
@@ -156,7 +156,7 @@ def batch_combinations(s, d):
 
 @query
 def rarest_intents(s, d):
-    return inventory.rarest(train(s, d).where("intent is not null"), "intent")
+    return inventory.rarest(train(s, d, "intent").where("intent is not null"), "intent")
 
 
 @query
@@ -296,19 +296,19 @@ def rendition_rows(s, d):
 
 @query
 def ratio_capped(s, d):
-    t = train(s, d).select("id", "intent")
+    t = train(s, d, "intent")
     y = table(s, d, "synth").groupBy(F.col("id").alias("ID")).agg(F.min("intent").alias("intent"))
     return mixing.ratio_cap(t, y, ratio=2.0)
 
 
 @query
 def rare_intents(s, d):
-    return mixing.rare_labels(train(s, d), table(s, d, "synth"))
+    return mixing.rare_labels(train(s, d, "intent"), table(s, d, "synth"))
 
 
 @query
 def training_mix(s, d):
-    t = train(s, d).select(F.col("id").alias("ID"), "intent", "duration")
+    t = train(s, d, "intent", "duration").select(F.col("id").alias("ID"), "intent", "duration")
     y = table(s, d, "synth").groupBy(F.col("id").alias("ID")).agg(F.min("intent").alias("intent"), F.min("duration").alias("duration"))
     m = mixing.mix({"real": t, "synthetic": y}, ["ID", "intent", "duration"])
     return rounded(m.groupBy("origin", "intent").agg(F.count("*").alias("n"), F.sum("duration").alias("seconds")), "seconds")
@@ -398,7 +398,7 @@ def numeric_order(s, d):
 
 @query
 def chat_records(s, d):
-    t = train(s, d).withColumnRenamed("id", "ID")
+    t = train(s, d, "wav", "tun_slu_annotation", "intent").withColumnRenamed("id", "ID")
     prompts = chat.label_prompt("One of {n}: {labels}", table(s, d, "intent_targets").select(F.col("intent").alias("label"))).select(F.lit("intent").alias("subtask"), "prompt")
     prompts = prompts.unionByName(chat.label_prompt("Mark {labels}", table(s, d, "slot_inventory")).select(F.lit("slot_filling").alias("subtask"), "prompt"))
     c = chat.records(t, prompts)
@@ -407,7 +407,7 @@ def chat_records(s, d):
 
 @query
 def chat_reprompted(s, d):
-    t = train(s, d).withColumnRenamed("id", "ID")
+    t = train(s, d, "wav", "tun_slu_annotation", "intent").withColumnRenamed("id", "ID")
     prompts = s.range(1).select(F.lit("intent").alias("subtask"), F.lit("Name it.").alias("prompt"))
     c = chat.reprompted(chat.records(t, prompts, split="dev"), "Open question.")
     return c.groupBy(F.col("meta.family").alias("family"), F.col("meta.split").alias("split"), F.element_at("messages", 1).content.alias("user")).agg(F.count("*").alias("n"))
@@ -415,7 +415,7 @@ def chat_reprompted(s, d):
 
 @query
 def joint_targets(s, d):
-    return chat.joint_targets(train(s, d).withColumnRenamed("id", "ID"))
+    return chat.joint_targets(train(s, d, "tun_slu_annotation", "intent").withColumnRenamed("id", "ID"))
 
 
 @query
