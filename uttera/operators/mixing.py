@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from uttera.session import stage
+
 VARIANTS = (("wav", ""), ("wav_ft", "_ft"))
 
 
@@ -41,8 +43,8 @@ def ratio_cap(train: DataFrame, synth: DataFrame, ratio: float = 2.0, seed: int
     h = F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col("ID")))
     size = 1 << 32
     cell = F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(size // ranges))
-    rare = F.broadcast(rare_labels(train, synth, least).withColumn("_rare", F.lit(True)))
-    r = synth.join(rare, "intent", "left").withColumn("_rare", F.coalesce("_rare", F.lit(False))).withColumn("_h", h).withColumn("_c", cell)
+    rare = rare_labels(train, synth, least).withColumn("_rare", F.lit(True))
+    r = stage(synth.join(rare, "intent", "left").withColumn("_rare", F.coalesce("_rare", F.lit(False))).withColumn("_h", h).withColumn("_c", cell))
     cap = train.agg(F.floor(F.count("*") * ratio)).scalar()
     by = r.groupBy("_c").agg(F.count("*").alias("all"), F.count_if(~F.col("_rare")).alias("n"), F.count_if("_rare").alias("rare"))
     w = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row a range

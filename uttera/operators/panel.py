@@ -26,9 +26,13 @@ def passes(df: DataFrame, derja: int = 4, natural: int = 3) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def verdicts(judged: DataFrame) -> DataFrame:
-    """The first verdict of each item and annotator."""
-    return first_wins(judged.withColumn("_id", F.struct("item_id", "annotator")), "_id", "seq").drop("_id")
+ANSWERS = ("derja", "natural", "intent_match", "slots_ok")
+
+
+def verdicts(judged: DataFrame, *more: str) -> DataFrame:
+    """The first verdict of each item and annotator, with the answers and ``more`` columns."""
+    cols = judged.select("seq", "item_id", "annotator", *ANSWERS, *more)
+    return first_wins(cols.withColumn("_id", F.struct("item_id", "annotator")), "_id", "seq").drop("_id")
 
 
 def majority(judged: DataFrame, panel_size: int | None = None) -> DataFrame:
@@ -45,7 +49,7 @@ def majority(judged: DataFrame, panel_size: int | None = None) -> DataFrame:
 
 def verdict_map(judged: DataFrame) -> DataFrame:
     """(item_id, per_annotator): each item's verdicts by annotator; an item has a bounded panel."""
-    v = verdicts(judged)
+    v = verdicts(judged, "fixed_annotated")
     s = F.struct("derja", "natural", "intent_match", "slots_ok", "fixed_annotated")
     return v.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("annotator", s)))).alias("per_annotator"))
 
@@ -57,7 +61,7 @@ def repair(judged: DataFrame, labels: Column, derja: int = 4, natural: int = 3)
     fails only for the slots, and its markup is given and sound, the item is
     kept with that markup; votes stay as they were.
     """
-    v = verdicts(judged)
+    v = verdicts(judged, "annotator_pos", "fixed_annotated")
     kinds = dict(v.dtypes)
     v = v.withColumn("_pass", passes(v, derja, natural)).withColumn("_p", parse(F.col("fixed_annotated"), labels))
     fine = (number(F.col("derja")) >= derja) & (number(F.col("natural")) >= natural) & truth(F.col("intent_match"), kinds["intent_match"])
