@@ -139,3 +139,8 @@ def test_held_out():
     for k in privacy.KINDS:
         assert good[k] >= 0.93 * true[k], k
         assert good[k] >= 0.93 * said[k], k
+
+
+def test_other_spaces_in_numbers():
+    t = "joignable au +216 61 489 814 le soir"
+    assert [(t[a:b], k) for a, b, k in privacy.find([t], NAMES)[0]] == [("+216 61 489 814", "phone")]

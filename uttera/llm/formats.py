@@ -13,18 +13,19 @@ AT = r"(?:\s?@\s?|\s?\[at\]\s?|\s?\(at\)\s?|\s+arobase\s+|\s+at\s+)"
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 DOT = r"(?:\.|\s+dot\s+|\s+point\s+)"
 EMAIL = re.compile(rf"(?<![\w.+@-]){LOCAL}{AT}(?:{LABEL}{DOT})+(?!wav\b|mp3\b|flac\b)[A-Za-z]{{2,12}}(?![\w@])")
-SEP = r"[ .\-/]"
+SP = "[ \u00a0\u2007\u2009\u202f]"
+SEP = SP[:-1] + r".\-/]"
 PHONE = re.compile(
     rf"(?<![\w+@./-])(?:"
     rf"(?:\+216|00216|\+٢١٦|٠٠٢١٦){SEP}?{D}{{2}}{SEP}?{D}{{3}}{SEP}?{D}{{3}}"
     rf"|\+{D}{{1,3}}(?:{SEP}{D}{{1,4}}){{2,6}}"
-    rf"|[0٠]{D}{{4}} {D}{{6}}"
+    rf"|[0٠]{D}{{4}}{SP}{D}{{6}}"
     rf"|[0٠]{D}(?:{SEP}{D}{{2}}){{4}}"
     rf"|{D}{{2}}(?P<s>{SEP}){D}{{3}}(?P=s){D}{{3}}"
     rf"|{D}{{8}}"
     rf")(?!{D}|[/-]{D}|\w)"
 )
-IDNUM = re.compile(rf"(?<![\w@])(?:[A-Z] ?{D}{{6}}|{D}{{8}}[/-]{D}{{2}}|{D}{{4}} {D}{{4}}|{D}{{8}})(?!\w)")
+IDNUM = re.compile(rf"(?<![\w@])(?:[A-Z]{SP}?{D}{{6}}|{D}{{8}}[/-]{D}{{2}}|{D}{{4}}{SP}{D}{{4}}|{D}{{8}})(?!\w)")
 # The parts of an address.
 STREET_FR = r"(?:rue|avenue|av\.|bd|boulevard|impasse|place|chemin|allée)"
 STREET_EN = r"(?:Street|Road|Lane|Row|Close|Avenue|Square|Drive|Way)"
