@@ -218,3 +218,18 @@ def test_manhattan_bound_never_drops():
     a, b = [r.choice(t) for _ in range(2000)], [r.choice(t) for _ in range(2000)]
     a, b = a + t[:-1], b + t[1:]
     assert ((nearsame.verified(a, b, 0.6) > 0) == (similarity(a, b) >= 0.6)).all()
+
+
+def test_near_same_frequent_template(spark):
+    """Pairs that meet mainly in pieces most texts have, with rare insertions."""
+    r = random.Random(5)
+    letters = "".join(chr(c) for c in range(0x4E00, 0x9000))
+    template = "".join(r.sample(letters[:3000], 82))
+    rare = iter(r.sample(letters[3000:], 13_000))
+    added = [0, 0, 26, 28, 26, 9, 13] * 10
+    texts = [template[: (k := r.randrange(3, 80))] + "".join(next(rare) for _ in range(n)) + template[k:] for n in added]
+    texts += ["".join(next(rare) for _ in range(60)) for _ in range(150)]
+    df = spark.createDataFrame([(f"i{i:03d}", t) for i, t in enumerate(texts)], SCHEMA).withColumn("annotated", F.col("id"))
+    want = {(f"i{i:03d}", f"i{j:03d}") for i in range(70) for j in range(i + 1, 70) if similar(texts[i], texts[j])}
+    assert len(want) > 1500
+    assert {tuple(x) for x in nearsame.found(df).select("id_a", "id_b").collect()} == want

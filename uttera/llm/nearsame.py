@@ -4,16 +4,13 @@ A record's fingerprint is the set of its pieces, each hashed to one of many
 segments; its embedding is the vector of bit counts by segment.  The Manhattan
 distance of two embeddings is at most the number of pieces that only one of the
 records has, so a pair of similarity t or more lies within
-(1 - t) / (1 + t) x (pieces of both).  Grid range-join: the segments are dealt
-into blocks, and a cell of the grid is a block with its counts; since distances
-of that size leave many blocks untouched, similar records share cells.
-ROUNDS independent deals of which a pair must share LEAST cells make a miss at
-similarity 0.65 rarer than one in ten thousand for usual lengths (tests/llm and
-the README have the measured recall).  Such pairs meet the Manhattan bound over
-SEGMENTS coarse segments and then the exact similarity.
-
-Pieces of more than COMMON of all texts take no part in cells (they do in the
-bound and in the similarity), but in those of texts which have hardly others.
+(1 - t) / (1 + t) x (pieces of both).  At 0.6 that is half a text's pieces, and
+no grid over it is both exact and selective; pairs are found by the exact
+prefix filter of uttera.llm.alike instead, then meet the Manhattan bound over
+SEGMENTS coarse segments and the exact similarity.
+
+:func:`cells` deals records into the cells of such a grid.  It loses pairs
+that meet mainly in frequent pieces, and no query uses it.
 """
 
 from __future__ import annotations
@@ -22,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from uttera.llm.alike import candidates_within, ranked
 from uttera.llm.merkle import digests
 from uttera.llm.pieces import SIMILAR, mix, pieces, plain_col
 from uttera.session import stage
@@ -33,7 +30,6 @@ from uttera.session import stage
 ROUNDS, LEAST = 4, 2
 #: Length classes by number of pieces: upper end, blocks.  The last has no end.
 CLASSES = ((96, 18), (384, 56), (1536, 220), (1 << 62, 880))
-COMMON = 0.005
 FEW = 12
 SEGMENTS = 64
 
@@ -107,26 +103,8 @@ def near_same(records: DataFrame, threshold: float = SIMILAR) -> dict[str, DataF
     members = stage(plain.select("id", "p", F.xxhash64(F.replace("p", F.lit(" "), F.lit(""))).alias("key")))
     classes = members.groupBy("key").agg(F.min("p").alias("p"))
 
-    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            p, n = np.unique(pieces(part.column(0).to_pylist())[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], ["piece", "n"])
-
-    n = classes.count()
-    # pieces of more than COMMON of all texts: at most (pieces a text) / COMMON, whatever the number of texts
-    often = classes.select("p").mapInArrow(counted, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).where(F.col("n") > max(COMMON * n, 20))
-    common = np.sort(np.array([r[0] for r in often.select("piece").collect()], np.int64))
-
-    def dealt(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            key = part.column(0).to_numpy()
-            r, c = cells(part.column(1).to_pylist(), common, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(c)], ["key", "cell"])
-
-    grid = classes.select("key", "p").mapInArrow(dealt, "key long, cell long")
-    pairs = grid.toDF("key_a", "cell").join(grid.toDF("key_b", "cell"), "cell").where("key_a < key_b")
-    # random pairs mostly share one cell, similar ones many
-    pairs = pairs.groupBy("key_a", "key_b").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("key_a", "key_b")
+    texts = classes.select("key", F.col("p").alias("plain"))
+    pairs = candidates_within(texts, ranked(texts, classes.count()), threshold).toDF("key_a", "key_b")
 
     @F.pandas_udf("double")
     def exact(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
