@@ -233,3 +233,15 @@ def test_near_same_frequent_template(spark):
     want = {(f"i{i:03d}", f"i{j:03d}") for i in range(70) for j in range(i + 1, 70) if similar(texts[i], texts[j])}
     assert len(want) > 1500
     assert {tuple(x) for x in nearsame.found(df).select("id_a", "id_b").collect()} == want
+
+
+def test_overlap_frequent_template(spark):
+    """A template of frequent words, alone, with a rare word and with other slot values."""
+    template = "نحب باش كيفاش توا برشا خويا زادة لازم"
+    words = ["".join(random.Random(k).choices("بتثجحخدذرزسش", k=6)) for k in range(40)]
+    e = [(f"e{k}", "test", f"{template} {w}" if k else template) for k, w in enumerate(words[:4])]
+    t = [("s", f"{template} {w}") for w in words[4:]]
+    want = {("test", "s", i) for i, _, x in e if any(similar(x, y) for _, y in t)}
+    assert len(want) == 4
+    got = overlap.found(spark.createDataFrame(e, "id string, split string, text string"), spark.createDataFrame(t, "source string, text string"))
+    assert {tuple(x) for x in got.collect()} == want

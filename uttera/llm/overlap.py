@@ -1,14 +1,11 @@
 """Records of evaluation splits that recur in training data (problem 1).
 
-Evaluation n-grams of words are hashed and partitioned, training is scanned for
-hits, and each evaluation record's containment in each training record it hit
-is computed.  TESTDATA.md asks for similarity of 0.6 on three-character pieces
-where a five-word shingle would miss most edits, so the n-gram is a pair of
-words at most REACH apart (not of two words that are each in more than STOP of
-all texts), of which a candidate must share two, three words in any order being
-enough; containment and similarity are then counted exactly on pieces.
-Texts of fewer than SHORT words, where one edit can leave no pair, are
-found by an exact prefix filter on pieces instead.
+The n-grams are the pieces of three characters by which TESTDATA.md defines
+similarity.  Those of both sides under which the exact prefix filter of
+uttera.llm.alike lists a text are hashed and partitioned, evaluation records
+meet the training records that hit them, and containment and similarity of
+each pair are counted exactly.  No recurrence is lost, whatever words are
+frequent and however short a text is.
 
 Copies (equal plain text) are collapsed first, so that a text of which there
 are very many is compared once.
@@ -16,107 +13,16 @@ are very many is compared once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttera.llm.pieces import SIMILAR, common, mix, pieces, plain_col
+from uttera.llm.alike import candidates, ranked
+from uttera.llm.pieces import SIMILAR, common, plain_col
 from uttera.session import stage
 
-REACH = 8
-STOP = 0.003
-SHORT = 6
-#: Evaluation grams up to this many are broadcast as a bit table of at most 2 ** MOST_BITS bits; beyond it the join is only partitioned.
-MOST_GRAMS, MOST_BITS = 1 << 26, 28
-
-
-def word_pairs(texts: list[str], stop: frozenset[str], reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the word pairs of each text, but for those of two stop words where it has other words."""
-    rows, words = [], []
-    for i, t in enumerate(texts):
-        w = list(dict.fromkeys(t.split(" ")))
-        rows += [i] * len(w)
-        words += w
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    r = np.array(rows, np.int64)
-    rare = np.fromiter((w not in stop for w in words), bool, len(words))
-    rare |= (np.bincount(r[rare], minlength=len(texts)) == 0)[r]
-    out_r, out_h = [], []
-    for g in range(1, reach + 1):
-        same = (r[g:] == r[:-g]) & (rare[g:] | rare[:-g]) if len(r) > g else np.zeros(0, bool)
-        if not same.any():
-            break
-        a, b = h[:-g][same], h[g:][same]
-        out_r.append(r[g:][same])
-        out_h.append(mix(np.minimum(a, b) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(a, b)))
-    if not out_r:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_r), np.concatenate(out_h).astype(np.int64)
-
-
-def prefixes(texts: list[str], threshold: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, piece): the pieces of which two texts of at least this similarity share one, the first of each in the order of a hash.
-
-    Texts of more than ``most`` pieces have none.
-    """
-    r, p = pieces(texts)
-    if most is not None:
-        few = (np.bincount(r, minlength=len(texts)) <= most)[r]
-        r, p = r[few], p[few]
-    o = np.lexsort((mix(p), r))
-    r, p = r[o], p[o]
-    n = np.bincount(r, minlength=len(texts))
-    rank = np.arange(len(r)) - (np.cumsum(n) - n)[r]
-    keep = rank < (n - np.ceil(threshold * n - 1e-9) + 1)[r]
-    return r[keep], mix(p[keep]).astype(np.int64)
-
-
-Grams = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
-
-
-def _grams(df: DataFrame, of: Grams, bits: np.ndarray | None = None) -> DataFrame:
-    """(key, gram) of (key, plain); with ``bits`` only those whose bit is set."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            key = part.column(0).to_numpy()
-            r, g = of(part.column(1).to_pylist())
-            if bits is not None:
-                at = g & (len(bits) * 8 - 1)
-                hit = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                r, g = r[hit], g[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(g)], ["key", "gram"])
-
-    return df.select("key", "plain").mapInArrow(run, "key long, gram long")
-
-
-def _hits(few: DataFrame, many: DataFrame, of: Grams, least: int = 1) -> DataFrame:
-    """(a, b): keys of ``few`` and ``many`` that share ``least`` grams.
-
-    The grams of ``few`` become a table of bits by their hash, built by the
-    executors and of checked size, which the scan of ``many`` asks before
-    anything is shuffled.
-    """
-    g = _grams(few, of)
-    n = g.count()
-    if not n:
-        return few.sparkSession.createDataFrame([], "a long, b long")
-    bits = None
-    if n <= MOST_GRAMS:
-        size = min(MOST_BITS, max(18, (64 * n).bit_length()))
-        x = F.col("gram").bitwiseAND(F.lit((1 << size) - 1)) + 1
-        cells = g.groupBy(F.bitmap_bucket_number(x).alias("c")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("v"))
-        bits = np.zeros(1 << size - 3, np.uint8)
-        for c, v in cells.toLocalIterator():
-            bits[(c - 1) * 4096 : c * 4096] = np.frombuffer(bytes(v), np.uint8)
-    pairs = g.toDF("a", "gram").join(_grams(many, of, bits).toDF("b", "gram"), "gram").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return pairs.where(F.col("n") >= least).select("a", "b")
-
 
 def _counted(a: str, b: str) -> Column:
     @F.pandas_udf("common int, n_eval int, n_train int")
@@ -145,23 +51,9 @@ def overlaps(evaluation: DataFrame, training: DataFrame, threshold: float = SIMI
     sources = stage(t.withColumn("train_plain", plain_col(F.col("t"))).drop("t").where("train_plain is not null").distinct())
     ev = members.select(F.col("eval_plain").alias("plain")).distinct().withColumn("key", F.xxhash64("plain"))
     tr = sources.select(F.col("train_plain").alias("plain"), F.xxhash64("train_plain").alias("key"))
-    words = tr.select(F.explode(F.array_distinct(F.split("plain", " "))).alias("w"))
-    n = tr.count()
-    # of words in more than STOP of all texts there are at most (words a text) / STOP, whatever the number of texts
-    stop = frozenset(r[0] for r in words.groupBy("w").count().where(F.col("count") > max(STOP * n, 20)).select("w").collect())
-    found = _hits(ev, tr, lambda x: word_pairs(x, stop), least=2).toDF("e", "t")
-    size = F.length(F.replace("plain", F.lit(" "), F.lit("")))
-    short = F.size(F.array_distinct(F.split("plain", " "))) < SHORT
-    for a, b, swap in ((ev, tr, False), (tr, ev, True)):
-        few = a.where(short)
-        longest = few.agg(F.max(size)).first()[0]
-        if longest:  # of n letters there are at most n pieces, and a partner has at most 1 / threshold times as many
-            most = int(max(longest, 1) / threshold) + 1
-            got = _hits(few, b, lambda x, most=most: prefixes(x, threshold, most))
-            found = found.unionByName((got.toDF("t", "e") if swap else got.toDF("e", "t")).select("e", "t"))
+    found = candidates(ev, tr, ranked(tr, tr.count()), threshold).toDF("e", "t")
     links = (
-        found.distinct()
-        .join(ev.toDF("eval_plain", "e"), "e")
+        found.join(ev.toDF("eval_plain", "e"), "e")
         .join(sources.withColumn("t", F.xxhash64("train_plain")), "t")
         .withColumn("x", _counted("eval_plain", "train_plain"))
         .select("eval_plain", "train_source", "train_plain", "x.*")
