@@ -227,3 +227,10 @@ def test_rarest_and_within(spark):
     df = spark.createDataFrame([("x",), ("y",), ("x",), ("a",)], "v string")
     assert [r.value for r in inventory.rarest(df, "v", 2).collect()] == ["a", "y"]
     assert chat.within(spark.createDataFrame([("a b c",), ("a",)], "t string"), "t", 2).count() == 1
+
+
+def test_seeds_all(spark):
+    rows = spark.createDataFrame([(("x", "y")[k % 3 == 0], f"i{k:04d}") for k in range(900)], "intent string, id string")
+    got = sorted(tuple(r) for r in seeds.seeds(rows, "intent", "id", []).collect())
+    ids = {i: [f"i{k:04d}" for k in range(900) if (k % 3 == 0) == (i == "y")] for i in "xy"}
+    assert got == [(i, p, v) for i in "xy" for p, v in enumerate(ids[i])]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from uttera.functions.annotation import slots
+from uttera.operators.batches import positions
 
 TARGET = 12_000
 # Labels that name only an action.
@@ -25,14 +26,11 @@ def label_combinations(rows: DataFrame, intent_col: str, markup_col: str, seq_co
     return g.withColumn("rank", rank).where(F.col("rank") <= top).select("intent", "combo", "n", "rank")
 
 
-def seeds(rows: DataFrame, intent_col: str, seq_col: str, cols: list[str], most: int = 100) -> DataFrame:
-    """(intent, seeds): each intent's first ``most`` rows in order, as a document of the pool holds them.
-
-    The limit is the feature: whole intents stay as rows.  Spark keeps only the
-    first rows of each intent before the shuffle.
-    """
-    r = rows.withColumn("_k", F.row_number().over(Window.partitionBy(intent_col).orderBy(seq_col))).where(F.col("_k") <= most)
-    return r.groupBy(F.col(intent_col).alias("intent")).agg(F.array_sort(F.collect_list(F.struct(seq_col, *cols))).alias("seeds"))
+def seeds(rows: DataFrame, intent_col: str, seq_col: str, cols: list[str]) -> DataFrame:
+    """(intent, position, seq_col, *cols): all rows of each intent in order, one a row, so that an intent may have any number; positions from 0."""
+    r = positions(rows.select(F.col(intent_col).alias("intent"), seq_col, *cols), ["intent", seq_col])
+    first = r.groupBy("intent").agg(F.min("position").alias("_f"))
+    return r.join(first, "intent").select("intent", (F.col("position") - F.col("_f")).alias("position"), seq_col, *cols)
 
 
 def quotas(counts: DataFrame, bare: tuple[str, ...] = BARE, target: int = TARGET) -> DataFrame:

@@ -114,9 +114,9 @@ def slot_combinations(s, d):
 
 @query
 def seed_pool(s, d):
-    """The first hundred seeds of each intent, as a pool's document holds them."""
+    """All seeds of each intent, in order."""
     t = train(s, d, "intent", "tun_transcription").where("intent is not null and tun_transcription is not null")
-    return seeds.seeds(t, "intent", "id", ["tun_transcription"]).select("intent", F.transform("seeds", lambda x: x.id).alias("ids"))
+    return seeds.seeds(t, "intent", "id", []).select("intent", "position", "id")
 
 
 @query
