@@ -234,3 +234,14 @@ def test_seeds_all(spark):
     got = sorted(tuple(r) for r in seeds.seeds(rows, "intent", "id", []).collect())
     ids = {i: [f"i{k:04d}" for k in range(900) if (k % 3 == 0) == (i == "y")] for i in "xy"}
     assert got == [(i, p, v) for i in "xy" for p, v in enumerate(ids[i])]
+
+
+def test_slots_of_validation(spark, tmp_path):
+    from uttera.plans import catalogue
+
+    cols = "id string, split string, intent string, tun_slu_annotation string"
+    rows = [("a1", "train", "x", "<l> v >"), ("a2", "validation", "x", "<m> w >"), ("a3", "validation", "x", "<m> w >"), ("a4", "test", "x", "<n> u >"), ("a5", "validation", "y", "t")]
+    for name, got in (("train", rows[:1]), ("heldout", rows[1:])):
+        spark.createDataFrame(got, cols).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {tuple(r) for r in catalogue.slot_values(spark, str(tmp_path)).collect()} == {("l", "v"), ("m", "w")}
+    assert {(r.intent, *r.combo, r.n, r.rank) for r in catalogue.slot_combinations(spark, str(tmp_path)).collect()} == {("x", "m", 2, 1), ("x", "l", 1, 2), ("y", 1, 1)}

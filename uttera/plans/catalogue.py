@@ -48,7 +48,17 @@ def intent_list(spark: SparkSession, d: str) -> list[str]:
 
 def train(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """(id, *cols) of train, one row an id; only these columns are read."""
-    t = table(spark, d, "train").select("id", *cols)
+    return _by_id(table(spark, d, "train"), *cols)
+
+
+def train_dev(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """(dev, id, *cols) of train (dev 0) and of the validation split (dev 1), one row an id of either."""
+    dev = _by_id(table(spark, d, "heldout").where("split = 'validation'"), *cols)
+    return train(spark, d, *cols).withColumn("dev", F.lit(0)).unionByName(dev.withColumn("dev", F.lit(1)))
+
+
+def _by_id(t: DataFrame, *cols: str) -> DataFrame:
+    t = t.select("id", *cols)
     return t.groupBy("id").agg(F.min(F.struct(*cols)).alias("r")).select("id", "r.*")
 
 
@@ -103,12 +113,14 @@ def intent_shares(s, d):
 
 @query
 def slot_values(s, d):
-    return seeds.value_bank(table(s, d, "train"), "tun_slu_annotation")
+    both = table(s, d, "train").select("tun_slu_annotation").unionByName(table(s, d, "heldout").where("split = 'validation'").select("tun_slu_annotation"))
+    return seeds.value_bank(both, "tun_slu_annotation")
 
 
 @query
 def slot_combinations(s, d):
-    t = train(s, d, "intent", "tun_slu_annotation").where("intent is not null").withColumn("seq", F.regexp_extract("id", r"(\d+)$", 1).cast("long"))
+    seq = F.struct("dev", F.regexp_extract("id", r"(\d+)$", 1).cast("long"))  # train comes before validation
+    t = train_dev(s, d, "intent", "tun_slu_annotation").where("intent is not null").withColumn("seq", seq)
     return seeds.label_combinations(t, "intent", "tun_slu_annotation", "seq")
 
 
@@ -125,10 +137,11 @@ def intent_quotas(s, d):
 
 
 def _plan(s, d):
-    t = train(s, d, "intent", "tun_slu_annotation").where("intent is not null")
-    have = t.groupBy(F.col("intent").alias("label")).agg(F.max(F.size(annotation.slots(F.coalesce("tun_slu_annotation", F.lit("")))) == 0).alias("bare"))
+    t = train_dev(s, d, "intent", "tun_slu_annotation").where("intent is not null")
+    bare = F.max(F.size(annotation.slots(F.coalesce("tun_slu_annotation", F.lit("")))) == 0).alias("bare")
+    have = t.groupBy(F.col("intent").alias("label")).agg(bare, F.max(F.col("dev") == 0).alias("seeded"))
     q = intent_quotas(s, d).join(have, "label", "left")
-    return batches.batch_plan(q.select(F.col("label").alias("intent"), "quota", F.col("bare").isNotNull().alias("has_seeds"), F.coalesce("bare", F.lit(True)).alias("plain")))
+    return batches.batch_plan(q.select(F.col("label").alias("intent"), "quota", F.coalesce("seeded", F.lit(False)).alias("has_seeds"), F.coalesce("bare", F.lit(True)).alias("plain")))
 
 
 @query
