@@ -245,3 +245,11 @@ def test_slots_of_validation(spark, tmp_path):
         spark.createDataFrame(got, cols).write.parquet(f"{tmp_path}/{name}.parquet")
     assert {tuple(r) for r in catalogue.slot_values(spark, str(tmp_path)).collect()} == {("l", "v"), ("m", "w")}
     assert {(r.intent, *r.combo, r.n, r.rank) for r in catalogue.slot_combinations(spark, str(tmp_path)).collect()} == {("x", "m", 2, 1), ("x", "l", 1, 2), ("y", 1, 1)}
+
+
+def test_shots_offer_all(spark):
+    plan = spark.range(300).select(F.concat(F.lit("b"), "id").alias("batch_id"), F.lit("x").alias("intent")).unionByName(spark.createDataFrame([("c", "y")], "batch_id string, intent string"))
+    pool = spark.createDataFrame([("x", f"i{k}") for k in range(200)] + [("y", "j0"), ("y", "j1")], "intent string, id string")
+    got = [tuple(r) for r in batches.shots(plan, pool, k=6).collect()]
+    assert len({r[1] for r in got if r[0] != "c"}) > 190  # 64 at most with a cap
+    assert len(got) == len({r[:2] for r in got}) == 1802 and {r[1] for r in got if r[0] == "c"} == {"j0", "j1"}

@@ -40,17 +40,29 @@ def resume(plan: DataFrame, done: DataFrame, id_col: str, done_col: str = "id")
     return plan.join(done.select(F.col(done_col).alias(id_col)).distinct(), id_col, "left_anti")
 
 
-def shots(plan: DataFrame, pool: DataFrame, seed: int = SEED, k: int = SHOTS, per_intent: int = 64) -> DataFrame:
+def shots(plan: DataFrame, pool: DataFrame, seed: int = SEED, k: int = SHOTS) -> DataFrame:
     """(batch_id, id, pos): ``k`` examples of its intent for each batch, without replacement, in an order keyed by seed and batch.
 
-    ``pool`` is (intent, id).  To bound the join, an intent offers its first
-    ``per_intent`` examples in the order of the seed's hash; the feature is sampling.
+    ``pool`` is (intent, id), all of which are offered: places are drawn out of
+    the intent's count (Floyd's sampling) by the hash of seed, batch and draw,
+    so that a batch meets only the examples it draws.
     """
-    offered = F.row_number().over(Window.partitionBy("intent").orderBy(F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col("id"))), "id"))
-    p = pool.withColumn("_o", offered).where(F.col("_o") <= per_intent).select("intent", "id")
+    p = positions(pool.select("intent", "id"), ["intent", "id"])
+    size = p.groupBy("intent").agg(F.min("position").alias("_f"), F.count("*").alias("_n"))
+    drawn = plan.select("batch_id", "intent").join(size, "intent")
+    for d in range(k):  # of the k draws, those before the last min(k, n) fall away
+        upto = F.col("_n") - k + d
+        hit = hash_mod(F.concat_ws(":", F.lit(str(seed)), "batch_id", F.lit(str(d))), F.greatest(upto + 1, F.lit(1)))
+        drawn = drawn.withColumn(f"_h{d}", F.when(upto >= 0, hit))
+    took = F.array().cast("array<bigint>")
+    for d in range(k):
+        drawn = drawn.withColumn("_t", took if d == 0 else F.col("_t"))
+        place = F.when(F.array_contains("_t", F.col(f"_h{d}")), F.col("_n") - k + d).otherwise(F.col(f"_h{d}"))
+        drawn = drawn.withColumn("_t", F.when(F.col(f"_h{d}").isNull(), F.col("_t")).otherwise(F.concat("_t", F.array(place))))
+    at = drawn.select("batch_id", "intent", F.explode(F.transform("_t", lambda x: x + F.col("_f"))).alias("position"))
     key = F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col("batch_id"), F.col("id")))
     pos = F.row_number().over(Window.partitionBy("batch_id").orderBy(key, "id"))
-    return plan.select("batch_id", "intent").join(p, "intent").withColumn("pos", pos).where(F.col("pos") <= k).select("batch_id", "id", "pos")
+    return at.join(p, ["intent", "position"]).withColumn("pos", pos).select("batch_id", "id", "pos")
 
 
 def picks(plan: DataFrame, pool: DataFrame, seed: int = SEED) -> DataFrame:
