@@ -180,6 +180,18 @@ def test_near_same(spark):
     assert len(want) > 50 and got == want
     g = {x.id: x for x in nearsame.groups(df).collect()}
     assert len(g) == len(ids)
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if similar(one[a][0], one[b][0]):
+                root[top(b)] = top(a)
+    assert len({(top(i), g[i].group) for i in ids}) == len({top(i) for i in ids}) == len({g[i].group for i in ids})
     assert nearsame.found(df.limit(0)).count() == 0
 
 
@@ -189,27 +201,25 @@ def test_near_same_one_text_everywhere(spark):
     assert nearsame.found(df).count() == 0
 
 
-def test_cells_recall():
-    """Cells find pairs of similarity 0.65 but for fewer than one in a thousand."""
-    r = random.Random(7)
-    import numpy as np
-
-    hit = n = 0
-    for _ in range(220):
-        a = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(9)) for _ in range(20)]
-        b = []
-        for t in a:
-            w = t.split()
-            for k in r.sample(range(9), 2):
-                w[k] = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6))
-            b.append(" ".join(w))
-        s = similarity(a, b)
-        ca, cb = nearsame.cells(a, np.zeros(0, np.int64)), nearsame.cells(b, np.zeros(0, np.int64))
-        for i in range(20):
-            if 0.6 <= s[i] <= 0.7:
-                n += 1
-                hit += len(set(ca[1][ca[0] == i]) & set(cb[1][cb[0] == i])) >= nearsame.LEAST
-    assert n > 300 and hit >= n - 1
+def test_near_same_thirty_of_one_template(spark):
+    """Thirty texts of one template of 82 letters with 24 letters of their own each: all 435 pairs."""
+    r = random.Random(3)
+    letters = [chr(c) for c in range(0x4E00, 0x9000)]
+    template = "".join(r.sample(letters[:3000], 82))
+    texts = [template + "".join(letters[3000 + 24 * k : 3024 + 24 * k]) for k in range(30)]
+    want = {(f"i{i:02d}", f"i{j:02d}") for i in range(30) for j in range(i + 1, 30) if similar(texts[i], texts[j])}
+    assert len(want) == 435
+    df = spark.createDataFrame([(f"i{i:02d}", t) for i, t in enumerate(texts)], SCHEMA).withColumn("annotated", F.col("id"))
+    assert {tuple(x) for x in nearsame.found(df).select("id_a", "id_b").collect()} == want
+
+
+def test_components(spark):
+    """A long chain, a star with a hot centre, a pair, repeated links and links to oneself."""
+    links = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(1000, 1400)] + [(7, 6), (6, 7), (6, 7), (9, 9)]
+    random.Random(1).shuffle(links)
+    got = {x.key: x.group for x in nearsame.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 100 for k in range(100, 161)} | {1: 1} | {k: 1 for k in range(1000, 1400)} | {6: 6, 7: 6}
+    assert nearsame.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_manhattan_bound_never_drops():
@@ -245,3 +255,11 @@ def test_overlap_frequent_template(spark):
     assert len(want) == 4
     got = overlap.found(spark.createDataFrame(e, "id string, split string, text string"), spark.createDataFrame(t, "source string, text string"))
     assert {tuple(x) for x in got.collect()} == want
+
+
+def test_overlap_joined_words(spark):
+    """Texts whose words are joined differently share no word and recur all the same."""
+    e = [("a", "test", "call my mother tomorrow morning early"), ("b", "test", "نحب نسمع غناية متاع صابر توا"), ("c", "test", "something else entirely different")]
+    t = [("train", "callmy mothertomorrow morningearly please now ok"), ("train", "نحب نسمع غناية متاع صابرة توا")]
+    got = overlap.found(spark.createDataFrame(e, "id string, split string, text string"), spark.createDataFrame(t, "source string, text string"))
+    assert {tuple(x) for x in got.collect()} == {("test", "train", "a"), ("test", "train", "b")}

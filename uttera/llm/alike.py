@@ -6,9 +6,13 @@ similarity t or more, the first piece in common is among the first
 (1 - t) / (1 + t) x pieces; each text is listed under these.  That holds
 whatever the order is, so frequent pieces need no rule of their own: a text of
 few others is listed under them.  A pair that meets is kept if its sizes and
-the parities of its hashed pieces allow the similarity: the parities of two
-texts differ in no more bits than they have pieces apart.  Nothing is left to
-chance, and nothing is dropped.
+the Manhattan distance of its segment-popcount embeddings allow the
+similarity: each piece is hashed to one of SEGMENTS segments, a text is
+embedded as its counts by segment, and two embeddings are no farther apart
+than the texts have pieces that the other lacks.  Counts are compared up to
+LEVELS, in unary (a bit for "at least one", one for "at least two"), so that
+the distance is the number of bits that differ.  Nothing is left to chance,
+and nothing is dropped.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from uttera.llm.pieces import mix, pieces
 
 #: Pieces in up to this share of the texts count as equally rare.
 RANKED = 0.00025
+SEGMENTS, LEVELS = 64, 2
 
 
 def ranked(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,26 +49,35 @@ def ranked(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return p[o], k[o]
 
 
+def counts_by_segment(r: np.ndarray, p: np.ndarray, k: int) -> np.ndarray:
+    """The segment-popcount embedding (k, SEGMENTS) of ``k`` texts with pieces (row, piece)."""
+    return np.bincount(r * SEGMENTS + (mix(p) % np.uint64(SEGMENTS)).astype(np.int64), minlength=k * SEGMENTS).reshape(k, SEGMENTS)
+
+
+def unary(counts: np.ndarray) -> list[np.ndarray]:
+    """For each level one 64-bit number a text: the segments whose count reaches it."""
+    return [np.packbits(counts >= i, axis=1, bitorder="little").view(np.int64)[:, 0] for i in range(1, LEVELS + 1)]
+
+
 def prefixes(texts: list[str], often: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, ...]:
-    """(row, piece, near, n, s0, s1): the pieces a text is listed under, whether also as the shorter of two; its number of pieces and parities."""
+    """(row, piece, near, n, s0, s1): the pieces a text is listed under, whether also as the shorter of two; its number of pieces and embedding."""
     r, p = pieces(texts)
     n = np.bincount(r, minlength=len(texts))
     count = np.zeros(len(p), np.int64)
     if len(often[0]):
         at = np.minimum(np.searchsorted(often[0], p), len(often[0]) - 1)
         count = np.where(often[0][at] == p, often[1][at], 0)
+    s = unary(counts_by_segment(r, p, len(texts)))
     h = mix(p)
-    parity = np.zeros((len(texts), 2), np.uint64)
-    np.bitwise_xor.at(parity, (r, (h >> np.uint64(6) & np.uint64(1)).astype(np.int64)), np.uint64(1) << (h & np.uint64(63)))
     o = np.lexsort((h, count, r))
     r, h = r[o], h[o]
     rank = np.arange(len(r)) - (np.cumsum(n) - n)[r]
     first = lambda share: rank <= (n - np.ceil(share * n - 1e-9))[r]
     keep = first(threshold)
     near = first(2 * threshold / (1 + threshold))[keep]
-    r, s = r[keep], parity.view(np.int64)
+    r = r[keep]
     # of a piece's hash 32 bits do: another piece with the same ones only adds candidates
-    return r, (h[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32), near, n[r].astype(np.int32), s[r, 0], s[r, 1]
+    return r, (h[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32), near, n[r].astype(np.int32), *(x[r] for x in s)
 
 
 def listed(df: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:

@@ -1,16 +1,16 @@
 """Near-duplicate records with small edits (problem 5).
 
-A record's fingerprint is the set of its pieces, each hashed to one of many
-segments; its embedding is the vector of bit counts by segment.  The Manhattan
-distance of two embeddings is at most the number of pieces that only one of the
-records has, so a pair of similarity t or more lies within
-(1 - t) / (1 + t) x (pieces of both).  At 0.6 that is half a text's pieces, and
-no grid over it is both exact and selective; pairs are found by the exact
-prefix filter of uttera.llm.alike instead, then meet the Manhattan bound over
-SEGMENTS coarse segments and the exact similarity.
-
-:func:`cells` deals records into the cells of such a grid.  It loses pairs
-that meet mainly in frequent pieces, and no query uses it.
+A record's fingerprint is the set of its pieces; its embedding is the vector of
+piece counts by hashed segment.  The Manhattan distance of two embeddings is at
+most the number of pieces that only one of the records has, so a pair of
+similarity t or more lies within (1 - t) / (1 + t) x (pieces of both).  At 0.6
+that is half a text's pieces: a grid over the embedding, with cells reached
+within that distance, holds nearly all pairs in nearly every cell (README), so
+the cells are the pieces of an exact prefix filter (uttera.llm.alike), within
+which pairs meet by the Manhattan bound, and the exact similarity follows.
+
+Groups are the connected components of the links, by alternating stars of
+minima over staged tables (Kiveris and others, 2014).
 """
 
 from __future__ import annotations
@@ -22,63 +22,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uttera.llm.alike import candidates_within, ranked
+from uttera.llm.alike import candidates_within, counts_by_segment, ranked
 from uttera.llm.merkle import digests
-from uttera.llm.pieces import SIMILAR, mix, pieces, plain_col
+from uttera.llm.pieces import SIMILAR, pieces, plain_col
 from uttera.session import stage
 
-ROUNDS, LEAST = 4, 2
-#: Length classes by number of pieces: upper end, blocks.  The last has no end.
-CLASSES = ((96, 18), (384, 56), (1536, 220), (1 << 62, 880))
-FEW = 12
-SEGMENTS = 64
-
-
-def cells(texts: list[str], common: np.ndarray, threshold: float = SIMILAR, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) of each text: hashed blocks with at least two pieces, with their counts by segment."""
-    r, p = pieces(texts)
-    n = np.bincount(r, minlength=len(texts))
-    usual = np.isin(p, common) if len(common) else np.zeros(len(p), bool)
-    left = np.bincount(r[~usual], minlength=len(texts))
-    out_r, out_c = [], []
-    lower = 0
-    for k, (upper, blocks) in enumerate(CLASSES):
-        # a record is dealt in each class in which a partner of its length range may have its own
-        here = (n > lower * threshold) & (n <= upper / threshold) & (n > 0)
-        here &= (n > lower) | (n / threshold > lower)
-        here &= (n <= upper) | (n * threshold <= upper)
-        lower = upper
-        for all_, rows in ((False, here & (left >= FEW)), (True, here & (left < 2 * FEW))):
-            sel = rows[r] & (all_ | ~usual)
-            if not sel.any():
-                continue
-            rr, pp = r[sel], p[sel]
-            for seed in range(rounds):
-                h = mix(pp.astype(np.uint64) + np.uint64(seed * 0x5851F42D4C957F2D + 1 & 0xFFFFFFFFFFFFFFFF))
-                block = (h % np.uint64(blocks)).astype(np.int64)
-                segment = mix(h >> np.uint64(20))  # the count of a segment enters as a multiple of its number
-                at = rr * blocks + block
-                o = np.argsort(at, kind="stable")
-                at, segment = at[o], segment[o]
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                size = np.diff(np.concatenate([first, [len(at)]]))
-                total = np.add.reduceat(segment, first)
-                keep = (size >= 2) | (left[at[first] // blocks] < FEW)
-                a = at[first][keep]
-                out_r.append(a // blocks)
-                out_c.append(mix(total[keep] + np.uint64(0x9E3779B97F4A7C15) * (a % blocks + (((k * 2 + all_) * rounds + seed) << 12)).astype(np.uint64)))
-    if not out_r:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_r), np.concatenate(out_c).astype(np.int64)
-
-
 def verified(a: list[str], b: list[str], threshold: float) -> np.ndarray:
     """Similarity of each pair, 0 where the Manhattan bound already excludes it or the similarity is below the threshold."""
     k = len(a)
     (ra, pa_), (rb, pb) = pieces(a), pieces(b)
     na, nb = np.bincount(ra, minlength=k), np.bincount(rb, minlength=k)
-    seg = lambda r, p: np.bincount(r * SEGMENTS + (mix(p) % np.uint64(SEGMENTS)).astype(np.int64), minlength=k * SEGMENTS).reshape(k, SEGMENTS)
-    near = np.abs(seg(ra, pa_) - seg(rb, pb)).sum(1) <= (1 - threshold) / (1 + threshold) * (na + nb) + 1e-9
+    near = np.abs(counts_by_segment(ra, pa_, k) - counts_by_segment(rb, pb, k)).sum(1) <= (1 - threshold) / (1 + threshold) * (na + nb) + 1e-9
     ka, kb = near[ra], near[rb]
     r, p = np.concatenate([ra[ka], rb[kb]]), np.concatenate([pa_[ka], pb[kb]])
     o = np.lexsort((p, r))
@@ -101,7 +55,7 @@ def near_same(records: DataFrame, threshold: float = SIMILAR) -> dict[str, DataF
     src = records.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("t")).where("id is not null and length(t) > 0")
     plain = src.withColumn("p", plain_col(F.col("t"))).where("p is not null").groupBy("id").agg(F.min("p").alias("p"))
     members = stage(plain.select("id", "p", F.xxhash64(F.replace("p", F.lit(" "), F.lit(""))).alias("key")))
-    classes = members.groupBy("key").agg(F.min("p").alias("p"))
+    classes = stage(members.groupBy("key").agg(F.min("p").alias("p")))
 
     texts = classes.select("key", F.col("p").alias("plain"))
     pairs = candidates_within(texts, ranked(texts, classes.count()), threshold).toDF("key_a", "key_b")
@@ -111,9 +65,10 @@ def near_same(records: DataFrame, threshold: float = SIMILAR) -> dict[str, DataF
         for a, b in parts:
             yield pd.Series(verified(list(a), list(b), threshold))
 
+    # all sides grow with the data, so that none is broadcast, whatever its size on disk
     links = (
-        pairs.join(classes.toDF("key_a", "p_a"), "key_a")
-        .join(classes.toDF("key_b", "p_b"), "key_b")
+        pairs.join(classes.toDF("key_a", "p_a").hint("merge"), "key_a")
+        .join(classes.toDF("key_b", "p_b").hint("merge"), "key_b")
         .withColumn("similarity", exact("p_a", "p_b"))
         .where("similarity > 0")
         .select("key_a", "key_b", "similarity")
@@ -130,21 +85,49 @@ def found(gen_kept: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """
     x = near_same(gen_kept, threshold)
     same = digests(gen_kept.where("annotated is not null and id is not null"), "id", ["text", "annotated"]).groupBy("id").agg(F.min("digest").alias("digest"))
-    m = stage(x["members"].join(same, "id", "left").select("id", "key", F.coalesce("digest", F.concat(F.lit("id:"), "id")).alias("record")))
+    m = stage(x["members"].join(same.hint("merge"), "id", "left").select("id", "key", F.coalesce("digest", F.concat(F.lit("id:"), "id")).alias("record")))
     links = stage(x["links"].select("key_a", "key_b"))
-    across = links.join(m.toDF("a", "key_a", "ra"), "key_a").join(m.toDF("b", "key_b", "rb"), "key_b").where("ra <> rb").select("a", "b")
+    across = links.join(m.toDF("a", "key_a", "ra").hint("merge"), "key_a").join(m.toDF("b", "key_b", "rb").hint("merge"), "key_b").where("ra <> rb").select("a", "b")
     kinds = m.select("key", "record").distinct()
     several = kinds.groupBy("key").count().where("count > 1").select("key")
-    kinds = kinds.join(several, "key", "left_semi")
-    within = kinds.toDF("key", "ra").join(kinds.toDF("key", "rb"), "key").where("ra < rb")
-    within = within.join(m.toDF("a", "key", "ra"), ["key", "ra"]).join(m.toDF("b", "key", "rb"), ["key", "rb"]).select("a", "b")
+    kinds = kinds.join(several.hint("merge"), "key", "left_semi")
+    within = kinds.toDF("key", "ra").join(kinds.toDF("key", "rb").hint("merge"), "key").where("ra < rb")
+    within = within.join(m.toDF("a", "key", "ra").hint("merge"), ["key", "ra"]).join(m.toDF("b", "key", "rb").hint("merge"), ["key", "rb"]).select("a", "b")
     return across.unionByName(within).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(key, group) of every key in ``links`` (a, b): group is the smallest key that is linked to it over any number of links.
+
+    Every round hangs keys on the smallest of their neighbours; rounds grow with
+    the logarithm of a component's size.  A round's links are a table in the
+    shared folder, of which the driver sees a count and a checksum.
+    """
+    e = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    mark = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    before = mark(e)
+    while True:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        after = mark(e)
+        if after == before:
+            return e.select(F.col("a").alias("key"), F.col("b").alias("group")).unionByName(e.select(F.col("b").alias("key"), F.col("b").alias("group")).distinct())
+        before = after
+
+
 def groups(records: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(id, key, n_links, n_copies): one row an id, with its class, the number of classes linked to it, and of ids in it."""
+    """(id, group, key, n_links, n_copies): one row an id, with its group and class, the number of classes linked to it, and of ids in it.
+
+    A group is what links connect, named by the smallest key of its classes; a class without links is a group of its own.
+    """
     x = near_same(records, threshold)
-    links = stage(x["links"])
+    links = stage(x["links"].select("key_a", "key_b"))
     ends = links.select(F.col("key_a").alias("key")).unionAll(links.select(F.col("key_b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
+    of = components(links.toDF("a", "b"))
     size = x["members"].groupBy("key").agg(F.count("*").alias("n_copies"))
-    return x["members"].join(size, "key").join(ends, "key", "left").fillna(0, ["n_links"]).select("id", "key", "n_links", "n_copies")
+    got = x["members"].join(size.hint("merge"), "key").join(ends.hint("merge"), "key", "left").join(of.hint("merge"), "key", "left")
+    return got.select("id", F.coalesce("group", "key").alias("group"), "key", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")

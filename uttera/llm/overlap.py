@@ -53,8 +53,8 @@ def overlaps(evaluation: DataFrame, training: DataFrame, threshold: float = SIMI
     tr = sources.select(F.col("train_plain").alias("plain"), F.xxhash64("train_plain").alias("key"))
     found = candidates(ev, tr, ranked(tr, tr.count()), threshold).toDF("e", "t")
     links = (
-        found.join(ev.toDF("eval_plain", "e"), "e")
-        .join(sources.withColumn("t", F.xxhash64("train_plain")), "t")
+        found.join(ev.toDF("eval_plain", "e").hint("merge"), "e")  # both sides grow: none is broadcast
+        .join(sources.withColumn("t", F.xxhash64("train_plain")).hint("merge"), "t")
         .withColumn("x", _counted("eval_plain", "train_plain"))
         .select("eval_plain", "train_source", "train_plain", "x.*")
         .withColumn("containment", F.col("common") / F.col("n_eval"))
@@ -68,7 +68,7 @@ def found(evaluation: DataFrame, training: DataFrame, threshold: float = SIMILAR
     """(eval_split, train_source, eval_id): each evaluation id and training source that share a text or nearly."""
     x = overlaps(evaluation, training, threshold)
     hit = x["links"].select("eval_plain", "train_source").distinct()
-    return hit.join(x["members"], "eval_plain").select("eval_split", "train_source", "eval_id").distinct()
+    return hit.join(x["members"].hint("merge"), "eval_plain").select("eval_split", "train_source", "eval_id").distinct()
 
 
 def counts(evaluation: DataFrame, training: DataFrame, threshold: float = SIMILAR) -> DataFrame:
