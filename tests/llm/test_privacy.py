@@ -104,41 +104,70 @@ def test_very_long_text():
     got = privacy.find([bit * 400], NAMES)[0]
     assert len(got) == 800
     assert {(a % len(bit), k) for a, _, k in got} == {(bit.index("belbila"), "email"), (bit.index("+216"), "phone")}
-    assert privacy.find([bit * 30], NAMES, whole=True) == privacy.find([bit * 30], NAMES)
+    words = [w for w in bit.split() if w.isalpha()]
+    plain = " ".join(words * 300)  # a case far from everything that could announce it
+    at = len(plain) // 2
+    assert [(t[a:b], k) for t in [plain[:at] + " Mme Karwenn Ben Teblouri a signalé le problème. " + plain[at:]] for a, b, k in privacy.find([t], NAMES)[0]] == [("Karwenn Ben Teblouri", "person")]
 
 
 def test_windows_cover():
-    for a, b in ((0, 10), (5, 5 + privacy.LONGEST), (7, 1000), (0, 5000)):
-        w = privacy.windows(a, b)
-        assert w[0][0] == a and w[-1][1] == b and all(x[1] - y[0] >= privacy.OVERLAP for x, y in zip(w, w[1:]))
+    for n in (1, 10, privacy.LONGEST, privacy.LONGEST + 1, 1500, 5000):
+        w = privacy.windows(n)
+        assert w[0][0] == 0 and w[-1][1] == n and all(x[1] - y[0] >= privacy.OVERLAP for x, y in zip(w, w[1:]))
         assert all(e - s <= privacy.LONGEST for s, e in w)
 
 
-DATA = "/root/testdata/check_s/documents.parquet"
+def test_decode_is_viterbi():
+    """Decoding stretches alone gives the best path of the whole window."""
+    r = np.random.default_rng(4)
+    some = []
+    for scale in (0.0, 0.3, 0.6, 1.0, 3.0):
+        t = tagger.Tagger("abc", ("x", "y"))
+        t.w["T"], t.w["s"] = r.normal(0, 1, t.w["T"].shape).astype(np.float32), r.normal(0, 1, t.w["s"].shape).astype(np.float32)
+        t.w["V"] *= 4
+        t.w["c"][0] = scale * 2
+        t.prepare()
+        X = r.integers(2, 18, (40, 30))
+        for j in range(10):
+            X[20 + j :, j] = 0
+        E, got = t.scores(X), t.decode(X)
+        some.append((got > 0).mean())
+        for j in range(30):
+            n = (X[:, j] >= 2).sum()
+            v, back = t.start + E[0, :, j], []
+            for i in range(1, n):
+                x = v[:, None] + t.trans
+                back.append(x.argmax(0))
+                v = x.max(0) + E[i, :, j]
+            y = [int(v.argmax())]
+            for k in reversed(back):
+                y.append(int(k[y[-1]]))
+            score = lambda y, j=j: t.start[y[0]] + sum(E[i, k, j] for i, k in enumerate(y)) + sum(t.trans[a, b] for a, b in zip(y, y[1:]))
+            assert score(got[:n, j].tolist()) == pytest.approx(score(y[::-1]), abs=1e-3) and not got[n:, j].any()
+    assert sum(0.02 < x < 0.9 for x in some) >= 2
+
+
+DATA = "/root/testdata/sf0.1/documents.parquet"
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 def test_held_out():
-    """Texts that the fit hasn't seen: the share of labelled cases found, of found ones labelled, and of cases within windows."""
+    """Texts that the fit hasn't seen: the share of labelled cases found, and of found ones labelled."""
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table(DATA, columns=["text"])["text"].to_pylist() if t][:2500]
     names = pq.read_table("/root/testdata/sf0.01/name_list.parquet")["given_name"].to_pylist()
     finder = privacy.Finder(names)
     good, said, true = collections.Counter(), collections.Counter(), collections.Counter()
-    out = 0
     for t, g in zip(texts, privacy.find(texts, finder=finder)):
         a, b = {(s, k) for s, _, k in spans(t)}, {(s, k) for s, _, k in g}
-        reach = privacy.cuts(finder(t)[0], len(t))
-        out += sum(not any(x <= s < y for x, y in reach) for s, _ in a)
         for k in privacy.KINDS:
             true[k] += sum(x[1] == k for x in a)
             said[k] += sum(x[1] == k for x in b)
             good[k] += sum(x[1] == k for x in a & b)
-    assert out <= 0.002 * sum(true.values())
     for k in privacy.KINDS:
-        assert good[k] >= 0.93 * true[k], k
-        assert good[k] >= 0.93 * said[k], k
+        assert good[k] >= 0.97 * true[k], k
+        assert good[k] >= 0.95 * said[k], k
 
 
 def test_other_spaces_in_numbers():

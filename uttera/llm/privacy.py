@@ -1,17 +1,14 @@
 """Personal information inside free text (problem 9).
 
 A character-level bidirectional LSTM with CRF transitions
-(:mod:`uttera.llm.tagger`) tags windows of the text; windows overlap, and of
-two windows that hold a character the one in which it lies farther from the
-edge decides, so that the tags of a text form one sequence before spans are
-read from it.  An exact check follows: an email, phone or identity number must
-have the format of one, and the ends of a span are moved to the format's ends.
-
-A window is cut only around *anchors*: digits, at-signs, the given names of the
-list (but for those that are mostly other words) and the phrases which in the
-labelled sample stand beside names and addresses.  Every labelled case of the sample lies within the reach of one
-(tests/llm), so that text without anchors holds no case; ``whole=True`` decodes
-all of it.
+(:mod:`uttera.llm.tagger`) tags every character of every text, in windows;
+windows overlap, and of two windows that hold a character the one in which it
+lies farther from the edge decides, so that the tags of a text form one
+sequence before spans are read from it.  An exact check follows: an email,
+phone or identity number must have the format of one, and the ends of a span
+are moved to the format's ends; a name must not be that of a business, and one
+that isn't capitalised throughout must hold a listed name or stand beside a
+title or a phrase of ``privacy_words.txt``.
 
 The weights in ``privacy_model.npz`` are fitted by ``privacy_train.py`` on a
 bounded sample of labelled texts (``SAMPLE`` rows).
@@ -33,15 +30,15 @@ from uttera.llm.formats import ADDRESS, EMAIL, IDNUM, KINDS, PHONE
 from uttera.llm.tagger import Tagger
 
 MODEL = Path(__file__).with_name("privacy_model.npz")
-LEFT, RIGHT = 84, 60
-LONGEST, OVERLAP = 288, 96
-AT_ONCE = 384
-PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
+LONGEST, OVERLAP = 1024, 128
+AT_ONCE, TEXTS = 192, 1024
 #: Added to the score of entering a span of each kind, set on texts that the fit hasn't seen: the exact check guards what it lets in.
-ENTER = {"email": 9.0, "phone": 5.0, "id_number": 6.0, "address": 3.0, "person": 3.5}
+ENTER = {"email": 7.0, "phone": 4.0, "id_number": 4.0, "address": 3.0, "person": 3.5}
+PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 # Words that make a name that of a business, before it and after it.
 BUSINESS_BEFORE = ("clinique", "pharmacie", "restaurant", "boulangerie", "hôtel", "café", "avenue", "rue", "مقهى", "مطعم", "صيدلية", "نزل")
-BUSINESS_AFTER = frozenset(("bakery", "pharmacy", "clinic", "hotel", "avenue", "street"))
+BUSINESS_AFTER = frozenset(("bakery", "pharmacy", "clinic", "hotel", "avenue", "street", "road", "lane", "row", "square", "drive"))
+LINKS = ("du", "des", "de", "la", "l", "d")
 # Offices, which titles may announce like names.
 OFFICES = ("المدير", "المديرة", "directeur", "directrice", "responsable", "la", "le", "the")
 # Words that make a number that of a ticket or an order.
@@ -51,25 +48,21 @@ FOUND = "id string, kind string, start_pos int, end_pos int, value string"
 
 
 @functools.cache
-def model() -> tuple[Tagger, frozenset[str], frozenset[str]]:
-    """The fitted tagger, the cues, and the listed names that are no anchors."""
+def model() -> Tagger:
     z = np.load(MODEL, allow_pickle=False)
     t = Tagger(str(z["chars"]), KINDS, {k[2:]: z[k].astype(np.float32) for k in z.files if k.startswith("w_")})
     for k, kind in enumerate(KINDS):
-        t.w["T"][:, 2 * k + 1] += ENTER[kind]
+        t.w["T"][0, 2 * k + 1] += ENTER[kind]
         t.w["s"][2 * k + 1] += ENTER[kind]
     t.prepare()
-    return t, frozenset(str(z["cues"]).split("\n")), frozenset(str(z["weak"]).split("\n"))
+    return t
 
 
 @functools.cache
-def anchor_class() -> np.ndarray:
-    """True for digits of any script in use and for at-signs."""
-    t = np.zeros(0x110000, bool)
-    for a in (0x30, 0x660, 0x6F0, 0xFF10):
-        t[a : a + 10] = True
-    t[[0x40, 0xFF20]] = True
-    return t
+def words() -> tuple[tuple[str, ...], frozenset[str]]:
+    """Phrases beside people and addresses, and listed names that are mostly other words."""
+    cues, weak = MODEL.with_name("privacy_words.txt").read_text(encoding="utf-8").split("# ")[1:]
+    return tuple(cues.splitlines()[1:]), frozenset(weak.splitlines()[1:])
 
 
 def lowered(text: str) -> str:
@@ -79,55 +72,35 @@ def lowered(text: str) -> str:
 
 
 class Finder:
-    """Finds anchors and given names; one per worker."""
+    """Marks listed given names; one per worker."""
 
-    def __init__(self, names: Iterable[str], cues: Iterable[str] | None = None, weak: Iterable[str] | None = None):
+    def __init__(self, names: Iterable[str]):
         import ahocorasick
 
-        cues, weak = model()[1] if cues is None else cues, model()[2] if weak is None else weak
-
         self.names = {lowered(n) for n in names if n and n.strip()}
-        self.cues, self.weak = tuple(sorted(cues)), frozenset(weak)
         self.auto = ahocorasick.Automaton()
-        for w in {*self.names, *cues, "[at]", "(at)", " arobase ", " at "} - {""}:
-            self.auto.add_word(w, (len(w), w in self.names, w[0].isalpha(), w[-1].isalpha(), w not in weak))
+        for w in self.names:
+            self.auto.add_word(w, (len(w), w[0].isalpha(), w[-1].isalpha()))
         self.auto.make_automaton()
+        self.any = len(self.auto) > 0
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted anchor positions, and a flag for each code point of a listed given name."""
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = [np.flatnonzero(anchor_class()[code])]
+    def __call__(self, text: str) -> np.ndarray:
+        """1 for each code point of a listed given name."""
         flags = np.zeros(len(text), np.int32)
-        low, n, more = lowered(text), len(text), []
-        for end, (size, name, left, right, anchor) in self.auto.iter(low):
-            a, b = end - size + 1, end + 1
-            if left and a and low[a - 1].isalpha() or right and b < n and low[b].isalpha():
-                continue
-            if anchor:
-                more.append(a)
-            if name:
-                flags[a:b] = 1
-        at.append(np.array(more, np.int64))
-        return np.sort(np.concatenate(at)), flags
-
-
-def cuts(anchors: np.ndarray, n: int, whole: bool = False) -> list[tuple[int, int]]:
-    """Stretches of a text of ``n`` characters around its anchors, apart from each other."""
-    if whole:
-        return [(0, n)] if n else []
-    if not len(anchors):
-        return []
-    a, b = np.maximum(anchors - LEFT, 0), np.minimum(anchors + RIGHT, n)
-    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
-    return list(zip(a[new].tolist(), b[np.concatenate([new[1:] - 1, [len(b) - 1]])].tolist(), strict=True))
-
-
-def windows(a: int, b: int) -> list[tuple[int, int]]:
-    """[a, b) in windows of at most LONGEST characters that overlap by OVERLAP."""
-    if b - a <= LONGEST:
-        return [(a, b)]
-    step = LONGEST - OVERLAP
-    return [(s, min(b, s + LONGEST)) for s in range(a, b - OVERLAP, step)]
+        if self.any:
+            low, n = lowered(text), len(text)
+            for end, (size, left, right) in self.auto.iter(low):
+                a, b = end - size + 1, end + 1
+                if not (left and a and low[a - 1].isalpha() or right and b < n and low[b].isalpha()):
+                    flags[a:b] = 1
+        return flags
+
+
+def windows(n: int) -> list[tuple[int, int]]:
+    """A text of ``n`` characters in windows of at most LONGEST that overlap by OVERLAP."""
+    if n <= LONGEST:
+        return [(0, n)]
+    return [(s, min(n, s + LONGEST)) for s in range(0, n - OVERLAP, LONGEST - OVERLAP)]
 
 
 def tags_of(tagger: Tagger, wins: list[np.ndarray]) -> list[np.ndarray]:
@@ -145,8 +118,8 @@ def tags_of(tagger: Tagger, wins: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def read_spans(tags: np.ndarray, at: int) -> list[tuple[int, int, str]]:
-    """Spans of one tag sequence that begins at position ``at``."""
+def read_spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
+    """Spans of a text's tag sequence."""
     out, k = [], 0
     hot = np.flatnonzero(tags)
     while k < len(hot):
@@ -155,26 +128,28 @@ def read_spans(tags: np.ndarray, at: int) -> list[tuple[int, int, str]]:
         b = a + 1
         while b < len(tags) and tags[b] == 2 * kind + 2:
             b += 1
-        out.append((at + int(a), at + int(b), KINDS[kind]))
+        out.append((int(a), int(b), KINDS[kind]))
         k = int(np.searchsorted(hot, b))
     return out
 
 
 def is_name(text: str, a: int, b: int, finder: Finder) -> bool:
-    """Whether a stretch of words holds a listed name or stands beside a cue, a single word after one; and is no business's."""
+    """Whether a tagged stretch is no business's name and no office, and is capitalised throughout, holds a listed name or stands beside a title or cue."""
     low = lowered(text[max(0, a - 40) : b + 40])
-    before, own, after = low[: min(a, 40)].rstrip(" "), low[min(a, 40) : min(a, 40) + b - a], low[min(a, 40) + b - a :].lstrip(" ")
-    last = before.rsplit(None, 1)[-1] if before.split() else ""
-    first = after.split(None, 1)[0].strip(".,;:!?") if after.split() else ""
-    if last in BUSINESS_BEFORE or first in BUSINESS_AFTER:
+    k = min(a, 40)
+    before, own, after = low[:k].rstrip(" "), low[k : k + b - a].replace("-", " ").split(), low[k + b - a :].lstrip(" ")
+    last, *earlier = reversed(re.split(r"[\s'’]", before))
+    street = next((w for w in (last, *earlier) if w not in LINKS), "")
+    if (last if last not in LINKS and own and own[0] not in LINKS else street) in BUSINESS_BEFORE or re.split(r"[\s.,;:!?]", after)[0] in BUSINESS_AFTER:
         return False
-    words = own.replace("-", " ").split()
-    if not words or words[0] in BUSINESS_BEFORE or words[0] in OFFICES or not BUSINESS_AFTER.isdisjoint(words):
+    if not own or own[0] in BUSINESS_BEFORE or own[0] in OFFICES or not BUSINESS_AFTER.isdisjoint(own):
         return False
-    listed = any(w in finder.names and w not in finder.weak for w in words)
-    if len(words) < 2:
-        return before.endswith(finder.cues)
-    return listed or before.endswith(finder.cues) or after.startswith(finder.cues) or last.rstrip(".") in TITLES
+    cues, weak = words()
+    announced = before.endswith(cues) or last.rstrip(".") in TITLES
+    if len(own) < 2:
+        return announced
+    proper = all(w[0].isupper() and not w.isupper() or w[1:] == "." for w in text[a:b].split() if w.lower() != "ben")
+    return proper or announced or after.startswith(cues) or any(w in finder.names and w not in weak for w in own)
 
 
 def sentences(text: str, a: int, b: int) -> list[tuple[int, int]]:
@@ -225,43 +200,36 @@ def checked(text: str, a: int, b: int, kind: str, finder: Finder) -> tuple[int,
     return None
 
 
-def find(texts: list[str | None], names: Iterable[str] = (), whole: bool = False, finder: Finder | None = None) -> list[list[tuple[int, int, str]]]:
+def find(texts: list[str | None], names: Iterable[str] = (), finder: Finder | None = None) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of each text, from 0, in order and apart."""
-    tagger = model()[0]
+    tagger = model()
     finder = finder or Finder(names)
     wins, where = [], []
     for i, text in enumerate(texts):
-        if not text:
-            continue
-        anchors, flags = finder(text)
-        ids = None
-        for a, b in cuts(anchors, len(text), whole):
-            if ids is None:
-                ids = tagger.ids(text, flags)
-            for s, e in windows(a, b):
+        if text:
+            ids = tagger.ids(text, finder(text))
+            for s, e in windows(len(text)):
                 wins.append(ids[s:e])
-                where.append((i, a, b, s, e))
-    found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+                where.append((i, s, e))
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     one: np.ndarray | None = None
-    for (i, a, b, s, e), tags in zip(where, tags_of(tagger, wins), strict=True):
-        if s == a:
-            one = np.zeros(b - a, np.int8)
-        lo, hi = s if s == a else s + OVERLAP // 2, e if e == b else e - OVERLAP // 2
-        one[lo - a : hi - a] = tags[lo - s : hi - s]
-        if e == b:
-            found[i] += read_spans(one, a)
-    out = []
-    for text, spans in zip(texts, found, strict=True):
-        done: list[tuple[int, int, str]] = []
-        for a, b, kind in [(x, y, k) for a, b, k in spans for x, y in (sentences(text, a, b) if k == "person" else [(a, b)])]:
-            x = checked(text, a, b, kind, finder)
-            if x and not any(x[0] < e and s < x[1] for s, e, _ in done):
-                done.append(x)
-        out.append(sorted(done))
+    for (i, s, e), tags in zip(where, tags_of(tagger, wins), strict=True):
+        text, n = texts[i], len(texts[i])
+        if not s:
+            one = np.zeros(n, np.int8)
+        lo, hi = s if not s else s + OVERLAP // 2, e if e == n else e - OVERLAP // 2
+        one[lo:hi] = tags[lo - s : hi - s]
+        if e == n:
+            done = out[i]
+            for a, b, kind in [(x, y, k) for a, b, k in read_spans(one) for x, y in (sentences(text, a, b) if k == "person" else [(a, b)])]:
+                x = checked(text, a, b, kind, finder)
+                if x and not any(x[0] < q and p < x[1] for p, q, _ in done):
+                    done.append(x)
+            done.sort()
     return out
 
 
-def find_private(docs: DataFrame, id_col: str, text_col: str, names: DataFrame | None = None, name_col: str = "given_name", whole: bool = False) -> DataFrame:
+def find_private(docs: DataFrame, id_col: str, text_col: str, names: DataFrame | None = None, name_col: str = "given_name") -> DataFrame:
     """One row (id, kind, start_pos, end_pos, value) for each occurrence in ``text_col``.
 
     Positions count code points from 1; ``end_pos`` is that of the last
@@ -281,9 +249,9 @@ def find_private(docs: DataFrame, id_col: str, text_col: str, names: DataFrame |
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(listed)
         for part in parts:
-            for k in range(0, part.num_rows, 512):
-                ids, texts = (part.column(j).slice(k, 512).to_pylist() for j in (0, 1))
-                rows = [(i, kind, a + 1, b, t[a:b]) for i, t, s in zip(ids, texts, find(texts, whole=whole, finder=finder), strict=True) for a, b, kind in s]
+            for k in range(0, part.num_rows, TEXTS):
+                ids, texts = (part.column(j).slice(k, TEXTS).to_pylist() for j in (0, 1))
+                rows = [(i, kind, a + 1, b, t[a:b]) for i, t, s in zip(ids, texts, find(texts, finder=finder), strict=True) for a, b, kind in s]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["id", "kind", "start_pos", "end_pos", "value"])
 
@@ -304,8 +272,8 @@ def mask(docs: DataFrame, id_col: str, text_col: str, names: DataFrame | None =
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(listed)
         for part in parts:
-            for k in range(0, part.num_rows, 512):
-                ids, texts = (part.column(j).slice(k, 512).to_pylist() for j in (0, 1))
+            for k in range(0, part.num_rows, TEXTS):
+                ids, texts = (part.column(j).slice(k, TEXTS).to_pylist() for j in (0, 1))
                 new, n = [], []
                 for t, s in zip(texts, find(texts, finder=finder), strict=True):
                     bits, at = [], 0

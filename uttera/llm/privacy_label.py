@@ -22,8 +22,11 @@ ID_CUE = re.compile(
     r"assuré\(e\) sous|matricule sociale|social insurance( no\.?)?|رقم بطاقتي|بطاقة التعريف( عدد)?|رقم الضمان|"
     r"جواز (?:ال)?سفر|الباسبور متاعي)\s*:?\s*$"
 )
+# What may follow an address's opening, capitalised words with their links or two of Arabic script, then a place.
+PROPER = r"[A-ZÀ-Þ][\w'’-]*"
 ADDRESS_TAIL = re.compile(
-    rf"(?P<fr>[^\d\n,;:.]{{0,40}}(?: {D}{{4}} [A-Z][\w-]+|, (?:{D}{{4}} )?[A-Z][\w-]+|))"
+    rf"(?=[ ،]*[ء-ي])(?: ?[ء-ي]{{2,}}){{0,2}}(?:، [ء-ي-]+)?(?: {D}{{4}}(?!{D}))?"
+    rf"|(?:(?: ?(?:des|du|de la|de|les|le|la))* ?{PROPER})*(?:,? {D}{{4}} {PROPER}|, {PROPER})?"
 )
 # Words around a name.
 PART = r"[A-Za-zÀ-ÿ]{2,}(?:-[A-Za-zÀ-ÿ]{2,})?"
