@@ -86,6 +86,18 @@ def test_consensus(spark):
     assert consensus.consensus(df.limit(0)).count() == 0
 
 
+def test_consensus_of_many_annotators(spark):
+    """The joined way gives what the packed one does, rounds settle, and one item may hold a third of all verdicts."""
+    rows, _ = judged(random.Random(2))
+    rows += [(10_000 + i, "hot", f"crowd{i}", i % 5 + 1, None, i % 3 == 0, True) for i in range(len(rows) // 3)]
+    df = spark.createDataFrame(rows, JUDGED)
+    key = lambda t: sorted((r.item_id, r.field, round(r.consensus, 6) if r.consensus is not None else -1, round(r.agreement or 0, 6), r.n_answers) for r in t.collect())
+    assert key(consensus.consensus(df)) == key(consensus.consensus(df, most=3))
+    a, b = ({(r.annotator, r.field): r for r in consensus.reliability(df, **k).collect()} for k in ({}, {"most": 3}))
+    assert a.keys() == b.keys() and all(a[k].weight == pytest.approx(b[k].weight) for k in a)
+    assert all(r.moved <= consensus.TOLERANCE and 1 < r.rounds < consensus.ROUNDS for r in [*a.values(), *b.values()])
+
+
 def test_consensus_ties(spark):
     rows = [(i, f"i{k}", a, 2 if a == "x" else 4, 3, a == "x", True) for i, (k, a) in enumerate((k, a) for k in range(4) for a in "xy")]
     assert consensus.found(spark.createDataFrame(rows, JUDGED)).count() == 0

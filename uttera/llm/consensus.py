@@ -9,13 +9,21 @@ that bound isn't below the distance that answers drawn at random with the same
 frequencies would have, the answers go with the others' no better than by
 chance, or against them, and the weight is 0.
 
-Everything is kept by annotator and field in tables; sums by item are partially
-aggregated before the shuffle, so that an item or annotator with a third of the
-verdicts is no single task's burden.
+Verdicts are shuffled once: an item's are one row of a table, which holds an
+annotator at most once and so is no longer than the list of annotators.  A round
+is one pass over that table without a shuffle, in Arrow batches, which returns
+sums by annotator; their list and weights go into the tasks.  With more than
+MOST annotators, items' and annotators' sums meet in joins instead, partially
+aggregated before each shuffle (:func:`discover_joined`), with the same results.
+Rounds go on until no share of weight moves by TOLERANCE.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +37,12 @@ LIMIT = {"derja": 3.0, "natural": 3.0, "intent_match": 0.5, "slots_ok": 0.5}
 ALPHA_Z = 1.959964
 #: Share by which the bound must lie below chance.
 MARGIN = 0.03
-ROUNDS = 6
+#: Rounds after which an iteration that does not settle ends; :func:`reliability` tells how many there were and the last movement.
+ROUNDS = 100
 TOLERANCE = 1e-3
+#: Annotators whose weights go into the tasks.
+MOST = 20_000
+SUMS = ("n", "d", "x", "xx", "o", "oo")
 
 
 def chi_squared(n: Column, z: float) -> Column:
@@ -79,35 +91,140 @@ def _weights(v: DataFrame, w: DataFrame, k: int) -> DataFrame:
     return g.select(*out)
 
 
-def discover(judged: DataFrame, fields: tuple[str, ...] = FIELDS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, weights): the weights after at most ``rounds`` rounds, or when no share of weight moves by TOLERANCE."""
+def discover_joined(judged: DataFrame, fields: tuple[str, ...] = FIELDS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, int, float]:
+    """(verdicts, weights, rounds, last movement), by joins."""
     k = len(fields)
     v = stage(verdicts(judged, fields))
     w = v.select("annotator").distinct().select("annotator", *[F.lit(1.0).alias(f"w{i}") for i in range(k)])
+    far = float("inf")
     for n in range(rounds):
         new = stage(_weights(v, w, k))
         if n:
             moved = new.select("annotator", *[F.col(f"w{i}").alias(f"v{i}") for i in range(k)]).join(w, "annotator")
             tot = moved.agg(*[x for i in range(k) for x in (F.sum(F.abs(F.col(f"v{i}") - F.col(f"w{i}"))), F.sum(f"v{i}"))]).first()
-            if all((tot[2 * i] or 0) <= TOLERANCE * (tot[2 * i + 1] or 1) for i in range(k)):
-                return v, new
+            far = max((tot[2 * i] or 0) / (tot[2 * i + 1] or 1) for i in range(k))
         w = new
-    return v, w
+        if far <= TOLERANCE:
+            break
+    return v, w, n + 1, far
+
+
+def packed(judged: DataFrame, fields: tuple[str, ...], names: list[str]) -> DataFrame:
+    """(item_id, v): an item's verdicts, an array of (number of the annotator in ``names``, a0, a1, ...)."""
+    code = judged.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "annotator string, code int")
+    v = verdicts(judged, fields).join(F.broadcast(code), "annotator")  # at most MOST rows
+    return stage(v.groupBy("item_id").agg(F.collect_list(F.struct("code", *[F.col(f"a{i}").cast("float").alias(f"a{i}") for i in range(len(fields))])).alias("v")))
+
+
+def _flat(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a batch of items: each verdict's row, annotator and answers (nan for none)."""
+    v = part.column(part.schema.get_field_index("v"))
+    flat = v.flatten()
+    row = np.repeat(np.arange(len(v)), np.diff(v.offsets.to_numpy()))
+    return row, flat.field(0).to_numpy(), [flat.field(1 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(k)]
+
+
+def _round(items: DataFrame, w: np.ndarray) -> np.ndarray:
+    """(annotator, field, SUMS) of the distances to the others' consensus under the weights (annotator, field)."""
+    m, k = w.shape
+    names = [f"{s}{i}" for i in range(k) for s in SUMS]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros((m, k, len(SUMS)))
+        for part in parts:
+            row, code, answers = _flat(part, k)
+            for i, a in enumerate(answers):
+                has = ~np.isnan(a)
+                r, c, x = row[has], code[has], a[has]
+                own = w[c, i]
+                s, t = np.bincount(r, own * x, part.num_rows)[r], np.bincount(r, own, part.num_rows)[r]
+                ok = t - own > 1e-9 * t
+                c, x, o = c[ok], x[ok], ((s - own * x)[ok]) / (t - own)[ok]
+                for j, y in enumerate((None, (x - o) ** 2, x, x * x, o, o * o)):
+                    got[:, i, j] += np.bincount(c, y, m)
+        some = np.flatnonzero(got[:, :, 0].any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *map(pa.array, got[some].reshape(len(some), k * len(SUMS)).T)], ["code", *names])
+
+    t = items.select("v").mapInArrow(run, "code int, " + ", ".join(f"{x} double" for x in names)).groupBy("code").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    out = np.zeros((m, k * len(SUMS)))
+    if t.num_rows:
+        out[t.column(0).to_numpy()] = np.stack([t.column(1 + j).to_numpy() for j in range(k * len(SUMS))], 1)
+    return out.reshape(m, k, len(SUMS))
+
+
+def _weighed(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, distances, chance) of :func:`_round`'s sums, as :func:`_weights` has them."""
+    n0, d, x, xx, o, oo = np.moveaxis(sums, 2, 0)
+    n = np.maximum(n0, 1)
+    chance = (xx / n - (x / n) ** 2) + (oo / n - (o / n) ** 2) + (x / n - o / n) ** 2
+    a = 2 / (9 * n)
+    bound = (d + 0.01) / (n * np.maximum(1 - a - ALPHA_Z * np.sqrt(a), 1e-3) ** 3)
+    return np.where((n0 > 0) & (bound * (1 + MARGIN) < chance), 1 / np.maximum(bound, 1e-6), 0.0), d / n, chance
+
 
+def annotators(judged: DataFrame, most: int) -> list[str] | None:
+    """The annotators in order, None if there are more than ``most``."""
+    got = [r[0] for r in judged.where("item_id is not null and annotator is not null").select(F.col("annotator").cast("string")).distinct().limit(most + 1).collect()]
+    return sorted(got) if len(got) <= most else None
 
-def consensus(judged: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+
+def discover(items: DataFrame, m: int, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """(weights, sums, rounds, last movement) of packed items with ``m`` annotators and ``k`` fields."""
+    w, far, sums, n = np.ones((m, k)), float("inf"), np.zeros((m, k, len(SUMS))), 0
+    while n < rounds and far > TOLERANCE:
+        sums = _round(items, w)
+        new = _weighed(sums)[0]
+        if n:
+            total = new.sum(0)
+            far = float((np.abs(new - w).sum(0) / np.where(total > 0, total, 1)).max(initial=0))
+        w, n = new, n + 1
+    return w, sums, n, far
+
+
+def consensus(judged: DataFrame, fields: tuple[str, ...] = FIELDS, most: int = MOST) -> DataFrame:
     """(item_id, field, consensus, agreement, n_answers): one row an item and field with an answer.
 
     consensus is the weighted median of the answers, of booleans (0 and 1) the
     weighted majority; where exactly half the weight lies on either side, the
     mean of the two middle answers; null if only annotators without weight
     answered.  agreement is the share of weight whose answers lie on the
-    consensus's side of the field's limit.  Answers are counted by level and
-    item, so an item of any number of verdicts is one row.  Null items and
-    annotators are left out; an empty table gives none.
+    consensus's side of the field's limit.  Null items and annotators are left
+    out; an empty table gives none.
     """
+    names = annotators(judged, most)
+    if names is None:
+        return _consensus_joined(judged, fields)
     k = len(fields)
-    v, w = discover(judged, fields)
+    items = packed(judged, fields, names)
+    w = discover(items, len(names), k)[0]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            row, code, answers = _flat(part, k)
+            for i, (f, a) in enumerate(zip(fields, answers, strict=True)):
+                levels, limit = np.array(LEVELS.get(f, (0, 1)), float), LIMIT.get(f, 0.5)
+                has = ~np.isnan(a)
+                n = np.bincount(row[has], minlength=part.num_rows)
+                at = np.searchsorted(levels, np.floor(a + 0.5))
+                ok = has & (at < len(levels))
+                ok[ok] &= levels[at[ok]] == np.floor(a[ok] + 0.5)
+                by = np.bincount(row[ok] * len(levels) + at[ok], w[code[ok], i], part.num_rows * len(levels)).reshape(-1, len(levels))
+                upto, total = by.cumsum(1), by.sum(1)
+                lower, upper = levels[(upto >= total[:, None] * (0.5 - 1e-9)).argmax(1)], levels[(upto > total[:, None] * (0.5 + 1e-9)).argmax(1)]
+                c, on = (lower + upper) / 2, total > 0
+                low = by[:, levels < limit].sum(1) / np.where(on, total, 1)
+                side = np.where(c < limit, low, 1 - low)
+                keep = np.flatnonzero(n > 0)
+                value = lambda x: pa.array(x[keep], mask=~on[keep])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array([f] * len(keep), pa.string()), value(c), value(side), pa.array(n[keep])], ["item_id", "field", "consensus", "agreement", "n_answers"])
+
+    return items.mapInArrow(run, "item_id string, field string, consensus double, agreement double, n_answers long")
+
+
+def _consensus_joined(judged: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The same for any number of annotators; answers are counted by level and item."""
+    k = len(fields)
+    v, w, *_ = discover_joined(judged, fields)
     j = v.join(w.select("annotator", *[f"w{i}" for i in range(k)]), "annotator")
     aggs = []
     for i, f in enumerate(fields):
@@ -130,11 +247,20 @@ def consensus(judged: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return g.select("item_id", F.inline(F.array(*out))).where("n_answers > 0")
 
 
-def reliability(judged: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(annotator, field, weight, n_answers, distance, chance): weight 0 marks those who must not decide."""
-    _, w = discover(judged, fields)
-    out = [F.struct(F.lit(f).alias("field"), F.col(f"w{i}").alias("weight"), F.col(f"m{i}").alias("n_answers"), F.col(f"e{i}").alias("distance"), F.col(f"c{i}").alias("chance")) for i, f in enumerate(fields)]
-    return w.select("annotator", F.inline(F.array(*out)))
+def reliability(judged: DataFrame, fields: tuple[str, ...] = FIELDS, most: int = MOST) -> DataFrame:
+    """(annotator, field, weight, n_answers, distance, chance, rounds, moved): weight 0 marks those who must not decide.
+
+    rounds is the number of rounds and moved the share of weight that the last one moved, over TOLERANCE only if ROUNDS ended it.
+    """
+    names, k = annotators(judged, most), len(fields)
+    if names is None:
+        _, t, n, far = discover_joined(judged, fields)
+        out = [F.struct(F.lit(f).alias("field"), F.col(f"w{i}").alias("weight"), F.col(f"m{i}").alias("n_answers"), F.col(f"e{i}").alias("distance"), F.col(f"c{i}").alias("chance")) for i, f in enumerate(fields)]
+        return t.select("annotator", F.inline(F.array(*out))).select("*", F.lit(n).alias("rounds"), F.lit(far).alias("moved"))
+    w, sums, n, far = discover(packed(judged, fields, names), len(names), k)
+    _, d, chance = _weighed(sums)
+    rows = [(x, f, float(w[j, i]), int(sums[j, i, 0]), float(d[j, i]), float(chance[j, i]), n, far) for j, x in enumerate(names) for i, f in enumerate(fields)]
+    return judged.sparkSession.createDataFrame(rows, "annotator string, field string, weight double, n_answers long, distance double, chance double, rounds int, moved double")
 
 
 def found(judged: DataFrame) -> DataFrame:

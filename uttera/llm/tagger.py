@@ -75,6 +75,7 @@ class Tagger:
         self.P = {d: (w["E"] @ w["W" + d] + w["b" + d]) * scale for d in "fb"}
         self.S = {d: np.ascontiguousarray(w["U" + d] * scale) for d in "fb"}
         self.M = {d: np.ascontiguousarray((np.vstack([w["U" + d] / 2, w["W" + d], w["b" + d][None]]) * scale).T.astype(np.float32)) for d in "fb"}
+        self.table_t = np.ascontiguousarray(w["E"].T)
         self.V = [np.ascontiguousarray(w["V"][:h].T / 2), np.ascontiguousarray(w["V"][h:].T / 2)]
         self.trans = np.where(self.allowed, w["T"], -1e4).astype(np.float32)
         self.start = np.where([t[0] != "I" for t in self.tags], w["s"], -1e4).astype(np.float32)
@@ -108,41 +109,44 @@ class Tagger:
                 Cs[t], G[t] = c, z
         return (H, Cs, G) if keep else H
 
-    def _states(self, X: np.ndarray, d: str) -> np.ndarray:
-        """(T, hidden, B): twice the states of one direction."""
+    def _emit(self, X: np.ndarray, d: str, out: np.ndarray) -> None:
+        """Adds one direction's scores to ``out`` (T, tags, B)."""
         T, B = X.shape
-        h = self.hidden
-        e = np.ascontiguousarray(self.w["E"][X].transpose(0, 2, 1))
-        H, x = np.empty((T, h, B), np.float32), np.zeros((h + e.shape[1] + 1, B), np.float32)
+        h, table = self.hidden, self.table_t
+        x = np.zeros((h + len(table) + 1, B), np.float32)
         z, c, t1, t2 = np.empty((4 * h, B), np.float32), np.zeros((h, B), np.float32), np.empty((h, B), np.float32), np.empty((h, B), np.float32)
+        y = np.empty(out.shape[1:], np.float32)
         i, f, o, u = (z[k * h : (k + 1) * h] for k in range(4))
+        M, V, state, given = self.M[d], self.V["fb".index(d)], x[:h], x[h:-1]
         x[-1] = 1
         real = X >= 2
         whole = real.all(1)
         for t in range(T) if d == "f" else range(T - 1, -1, -1):
-            x[h:-1] = e[t]
-            np.matmul(self.M[d], x, out=z)
+            np.take(table, X[t], axis=1, out=given, mode="clip")
+            np.matmul(M, x, out=z)
             np.tanh(z, out=z)
             f += 1
             np.multiply(f, c, out=t1)
             i += 1
-            np.multiply(i, u, out=t2)
-            t1 += t2
+            i *= u
+            t1 += i
             np.multiply(t1, 0.5, out=c)
-            np.tanh(c, out=t1)
+            np.tanh(c, out=t2)
             o += 1
-            np.multiply(o, t1, out=H[t])
+            np.multiply(o, t2, out=state)  # twice the state
             if d == "b" and not whole[t]:  # padding, at the end, keeps the state at zero
                 c *= real[t]
-                H[t] *= real[t]
-            x[:h] = H[t]
-        return H
+                state *= real[t]
+            np.matmul(V, state, out=y)
+            out[t] += y
 
     def scores(self, X: np.ndarray) -> np.ndarray:
         """(T, tags, B) of X (T, B)."""
-        E = np.matmul(self.V[0], self._states(X, "f"))
-        E += np.matmul(self.V[1], self._states(X, "b"))
-        return E + self.w["c"][:, None]
+        E = np.empty((X.shape[0], len(self.tags), X.shape[1]), np.float32)
+        E[:] = self.w["c"][:, None]
+        for d in "fb":
+            self._emit(X, d, E)
+        return E
 
     def decode(self, X: np.ndarray) -> np.ndarray:
         """Best tag sequence, (T, B); padding is at the end and tagged 0."""
