@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -24,10 +25,17 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, which a count of no more than these tells; else as it is, for Spark to join by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; where it is unset (tests), a folder of this process."""
+    """The folder named by spark.checkpoint.dir, which all executors share; where it is unset and the master is local (tests), a folder of this process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="uttera-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
