@@ -25,14 +25,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Look-alike letters (Cyrillic, Greek, Arabic-script variants) and
+from uttera.session import stage
+
+# Look-alike letters (Cyrillic, Greek, Armenian, Coptic, Cherokee, Arabic-script variants) and
 # the digits that look the same in both Arabic-script digit sets (4, 5 and 6 don't).
 LOOK_ALIKE = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "Ү": "Y",
     "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ı": "i", "ɡ": "g", "ɑ": "a", "ǃ": "!", "‐": "-", "‑": "-",
+    "ɡ": "g", "ɑ": "a", "ǃ": "!", "‐": "-", "‑": "-",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "յ": "j", "ց": "g", "զ": "q", "Օ": "O", "Ս": "U", "Լ": "L",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T", "Ⲭ": "X",
+    "Ꭺ": "A", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮤ": "W", "Ꮓ": "Z", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D",
     "ک": "ك", "ڪ": "ك", "ہ": "ه", "ھ": "ه", "ە": "ه", "ٱ": "ا",
     "۰": "٠", "۱": "١", "۲": "٢", "۳": "٣", "۷": "٧", "۸": "٨", "۹": "٩",
 }
@@ -162,14 +167,13 @@ def looks_same(parts: DataFrame) -> DataFrame:
     recs = (
         parts.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("raw"))
         .where(F.col("id").isNotNull() & F.regexp_like("raw", F.lit(r"(?U)\S")))
-        .withColumn("uni", uniform_col(F.col("raw")))
     )
-    forms = recs.groupBy("uni", "raw").agg(F.min("id").alias("one"))  # partial aggregation takes copies out before the shuffle
-    many = forms.groupBy("uni").agg(F.count("*").alias("n")).where("n > 1").select("uni")
-    rec = recs.join(many, "uni", "left_semi").groupBy("id").agg(F.min(F.struct("raw", "uni")).alias("x")).select("id", "x.raw", "x.uni")
-    forms = rec.select("uni", "raw").distinct()
-    a, b = forms.toDF("uni", "raw_a"), forms.toDF("uni", "raw_b")
-    pairs = a.join(b, "uni").where("raw_a < raw_b")
-    m = rec.select("id", "uni", "raw")
-    out = pairs.join(m.toDF("id1", "uni", "raw_a"), ["uni", "raw_a"]).join(m.toDF("id2", "uni", "raw_b"), ["uni", "raw_b"])
+    # one record an id, chosen on all rows; the uniform text is computed once
+    rec = stage(recs.groupBy("id").agg(F.min("raw").alias("raw")).withColumn("uni", uniform_col(F.col("raw"))))
+    key = rec.select(F.xxhash64("uni").alias("key"), F.xxhash64("raw").alias("form"))
+    many = key.groupBy("key").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a < b").select("key")
+    m = stage(rec.withColumn("key", F.xxhash64("uni")).join(many.hint("merge"), "key", "left_semi").select("id", "uni", "raw"))
+    forms = m.select("uni", "raw").distinct()
+    pairs = forms.toDF("uni", "raw_a").join(forms.toDF("uni", "raw_b").hint("merge"), "uni").where("raw_a < raw_b")
+    out = pairs.join(m.toDF("id1", "uni", "raw_a").hint("merge"), ["uni", "raw_a"]).join(m.toDF("id2", "uni", "raw_b").hint("merge"), ["uni", "raw_b"])
     return out.select(F.least("id1", "id2").alias("id_a"), F.greatest("id1", "id2").alias("id_b"))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from uttera.session import stage
+
 MARK = "␟"
 
 
@@ -59,31 +61,52 @@ def digests(df: DataFrame, id_col: str, fields: list[str], unordered: tuple[str,
     return src.select("id", d.alias("digest"), form.alias("form"))
 
 
+def records(df: DataFrame, id_col: str, fields: list[str], unordered: tuple[str, ...] = ()) -> DataFrame:
+    """(id, digest, form), one row an id: of differing contents that of the smallest normal form.  Null ids are left out."""
+    rows = digests(df, id_col, fields, unordered).where("id is not null")
+    return rows.groupBy("id").agg(F.min(F.struct("form", "digest")).alias("x")).select("id", "x.digest", "x.form")
+
+
 def collapse(df: DataFrame, id_col: str, fields: list[str], unordered: tuple[str, ...] = ()) -> DataFrame:
     """(id_kept, id_copy, n_copies): each record of a set of more than one, with the smallest id of it and the set's size.
 
-    A row whose id is null is left out; rows with one id are one record (of
-    differing contents, that of the smallest normal form).  Null fields are
-    equal to each other; leave out rows that shouldn't be records beforehand.
-    A set of any size costs one row a member: sets are counted with partial
-    aggregation, and only rows of digests that occur twice meet the comparison
-    of whole forms.
+    The records are those of :func:`records`.  Null fields are equal to each
+    other; leave out rows that shouldn't be records beforehand.  A set of any
+    size costs one row a member: sets are counted with partial aggregation, and
+    only rows of digests that occur twice meet the comparison of whole forms;
+    members of a hot set join its one row, which adaptive execution splits.
     """
-    rows = digests(df, id_col, fields, unordered).where("id is not null")
-    often = rows.groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("digest")
-    again = rows.join(often, "digest", "left_semi").groupBy("id").agg(F.min(F.struct("digest", "form")).alias("x")).select("id", "x.digest", "x.form")
+    one = stage(records(df, id_col, fields, unordered))
+    often = one.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    again = stage(one.join(often.hint("merge"), "digest", "left_semi"))
     sets = again.groupBy("digest", "form").agg(F.min("id").alias("id_kept"), F.count("*").alias("n_copies")).where("n_copies > 1")
-    return again.join(sets, ["digest", "form"]).select("id_kept", F.col("id").alias("id_copy"), "n_copies")
+    return again.join(sets.hint("merge"), ["digest", "form"]).select("id_kept", F.col("id").alias("id_copy"), "n_copies")
 
 
 def collapsed(df: DataFrame, id_col: str, fields: list[str], unordered: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_copies): one row for each different record, sets of one included."""
-    rows = digests(df, id_col, fields, unordered).where("id is not null")
-    one = rows.groupBy("id").agg(F.min(F.struct("digest", "form")).alias("x")).select("id", "x.digest", "x.form")
+    one = records(df, id_col, fields, unordered)
     return one.groupBy("digest", "form").agg(F.min("id").alias("id"), F.count("*").alias("n_copies")).select("id", "n_copies")
 
 
+SLOT = r"<([^<>\s]+)>([^<>]*)>"
+
+
+def nested(gen_kept: DataFrame) -> DataFrame:
+    """gen_kept with ``annotated`` as a record: the text around its slots, with a mark in each slot's place, and the slots (label, value), whose order doesn't count.
+
+    Markup that is no whole slot stays in the text around them as content.
+    """
+    a = F.col("annotated")
+    pairs = F.arrays_zip(F.regexp_extract_all(a, F.lit(SLOT), F.lit(1)).alias("l"), F.regexp_extract_all(a, F.lit(SLOT), F.lit(2)).alias("v"))
+    slots = F.transform(pairs, lambda x: F.struct(x.l.alias("label"), x.v.alias("value")))
+    return gen_kept.select("id", "text", F.when(a.isNotNull(), F.struct(F.regexp_replace(a, SLOT, " <> ").alias("around"), slots.alias("slots"))).alias("annotated"))
+
+
+FIELDS, UNORDERED = ["text", "annotated"], ("annotated.slots",)
+
+
 def found(gen_kept: DataFrame) -> DataFrame:
     """p4: (id_kept, id_copy) of gen_kept by text and annotated; null or blank texts and null annotations are no cases."""
     rows = gen_kept.where(F.col("annotated").isNotNull() & F.regexp_like("text", F.lit(r"(?U)\S")))
-    return collapse(rows, "id", ["text", "annotated"]).where("id_copy <> id_kept").select("id_kept", "id_copy")
+    return collapse(nested(rows), "id", FIELDS, UNORDERED).where("id_copy <> id_kept").select("id_kept", "id_copy")

@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from uttera.llm import merkle
 from uttera.llm.alike import candidates_within, counts_by_segment, ranked
-from uttera.llm.merkle import digests
 from uttera.llm.pieces import SIMILAR, pieces, plain_col
 from uttera.session import stage
 
@@ -84,7 +84,7 @@ def found(gen_kept: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     copies don't meet each other.  A null annotation makes an id a p4 record of its own.
     """
     x = near_same(gen_kept, threshold)
-    same = digests(gen_kept.where("annotated is not null and id is not null"), "id", ["text", "annotated"]).groupBy("id").agg(F.min("digest").alias("digest"))
+    same = merkle.records(merkle.nested(gen_kept.where("annotated is not null")), "id", merkle.FIELDS, merkle.UNORDERED).select("id", "digest")
     m = stage(x["members"].join(same.hint("merge"), "id", "left").select("id", "key", F.coalesce("digest", F.concat(F.lit("id:"), "id")).alias("record")))
     links = stage(x["links"].select("key_a", "key_b"))
     across = links.join(m.toDF("a", "key_a", "ra").hint("merge"), "key_a").join(m.toDF("b", "key_b", "rb").hint("merge"), "key_b").where("ra <> rb").select("a", "b")

@@ -15,8 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from uttera.session import bounded, stage
+
 SLACK = 6.0
 RANGES = 4096
+#: Rows up to which tables of targets and of their ranges are broadcast; longer ones are joined otherwise.
+TARGETS = 200_000
 
 
 def category(c: Column) -> Column:
@@ -41,7 +45,11 @@ def report(rows: DataFrame, targets: DataFrame, id_col: str = "id", category_col
     null ones among them, take no part; an empty table makes every need that
     of min_rows.
     """
-    seen = _records(rows, id_col, category_col, targets).groupBy("key").agg(F.count("*").alias("observed"))
+    return _report(_records(rows, id_col, category_col, targets), targets, share, size)
+
+
+def _report(records: DataFrame, targets: DataFrame, share: float, size: int | None) -> DataFrame:
+    seen = records.groupBy("key").agg(F.count("*").alias("observed"))
     t = targets.select("intent", category(F.col("intent")).alias("key"), F.coalesce(F.col("target_bp"), F.lit(0)).cast("long").alias("bp"), F.coalesce(F.col("min_rows"), F.lit(0)).cast("long").alias("least"))
     t = t.where("intent is not null").groupBy("key").agg(F.min("intent").alias("intent"), F.max("bp").alias("bp"), F.max("least").alias("least"))
     t = t.join(seen, "key", "left").fillna(0, ["observed"])
@@ -59,18 +67,18 @@ def sample(rows: DataFrame, targets: DataFrame, id_col: str = "id", category_col
 
     The same input, size and seed give the same sample, whatever the partitions.
     """
-    rec = _records(rows, id_col, category_col, targets)
-    need = F.broadcast(report(rows, targets, id_col, category_col, share, size))  # a row for each target
+    rec = stage(_records(rows, id_col, category_col, targets))
+    need = bounded(_report(rec, targets, share, size), TARGETS)  # a row for each target
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 52))
     got = rec.join(need, "key").withColumn("u", u)
     # a shortfall by chance would need SLACK standard deviations; the greatest hash accepted is then raised to all
     accepted = got.where(F.col("u") < F.col("acceptance") * F.lit(float(1 << 52)))
     short = accepted.groupBy("key").agg(F.count("*").alias("n"), F.first("needed").alias("needed"), F.first("observed").alias("observed")).where("n < least(needed, observed)").select("key")
-    pool = accepted.join(F.broadcast(short), "key", "left_anti").unionByName(got.join(F.broadcast(short), "key", "left_semi"))
+    pool = accepted.join(bounded(short, TARGETS), "key", "left_anti").unionByName(got.join(bounded(short, TARGETS), "key", "left_semi"))
     pool = pool.withColumn("range", F.floor(F.col("u") / F.lit((1 << 52) // RANGES)))
     by = pool.groupBy("key", "range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most RANGES rows a key
-    cut = F.broadcast(by.withColumn("before", before).select("key", "range", "n", "before"))
+    cut = bounded(stage(by.withColumn("before", before).select("key", "range", "n", "before")), TARGETS)
     pool = pool.join(cut, ["key", "range"]).where("before < needed")
     inside = pool.where("before + n <= needed").select("id", "intent")
     edge = pool.where("before + n > needed").withColumn("k", F.row_number().over(Window.partitionBy("key", "range").orderBy("u", "id")) + F.col("before")).where("k <= needed")

@@ -45,6 +45,11 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return proportion.sample(table(spark, d, "synth"), table(spark, d, "intent_targets"))
 
 
+def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many ids of each intent the sample holds."""
+    return p2_sample(spark, d).groupBy("intent").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.found(table(spark, d, "gen_judged"))
 
@@ -62,7 +67,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.collapsed(table(spark, d, "gen_kept").where("annotated is not null"), "id", ["text", "annotated"])
+    return merkle.collapsed(merkle.nested(table(spark, d, "gen_kept").where("annotated is not null")), "id", merkle.FIELDS, merkle.UNORDERED)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +110,6 @@ def p9_masked(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_counts, p2_found, p2_report, p2_sample, p3_found, p3_consensus, p3_reliability, p4_found, p4_collapsed,
+        p1_found, p1_counts, p2_found, p2_report, p2_sample, p2_sizes, p3_found, p3_consensus, p3_reliability, p4_found, p4_collapsed,
         p5_found, p5_groups, p6_found, p6_uniform, p7_ids, p8_pack, p8_fill, p9_found, p9_masked,
     )}

@@ -16,13 +16,24 @@ g as (select intent, observed, greatest(least, (bp * n + 9999) // 10000) as need
 select intent, observed, cast(needed as bigint) as needed, cast(greatest(needed - observed, 0) as bigint) as deficit from g"""
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '(<[^<>\s]+>|[<>])', ' \1 ', 'g'), '(<[^<>\s]+>|[<>])|\p{{P}}', '\1', 'g'), '[\s\v\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
-_FORMS = f"select id, min(struct_pack(t := {_NORMAL.format('text')}, a := {_NORMAL.format('annotated')})) as k from gen_kept where annotated is not null and id is not null"
+_SLOT = r"<([^<>\s]+)>([^<>]*)>"
+_SLOTS = f"list_sort(list_transform(list_zip(regexp_extract_all(annotated, '{_SLOT}', 1), regexp_extract_all(annotated, '{_SLOT}', 2)), lambda p: struct_pack(l := {_NORMAL.format('p[1]')}, v := {_NORMAL.format('p[2]')})))"
+_AROUND = _NORMAL.format(f"regexp_replace(annotated, '{_SLOT}', ' <> ', 'g')")
+
+
+_WRITTEN = r" and regexp_matches(text, '[^\s\x{A0}]')"
+
+
+def _forms(text: str, where: str) -> str:
+    """One record an id; no id of these tables has two contents, so that any rule of choice does."""
+    return f"select id, min(struct_pack(t := {text}, a := {_AROUND}, s := {_SLOTS})) as k from gen_kept where annotated is not null and id is not null{where} group by id"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_report": _REPORT,
         "p2_found": f"select intent from ({_REPORT}) where deficit > 0",
-        "p4_found": f"with f as ({_FORMS} and regexp_matches(text, '[^\\s\\x{{A0}}]') group by id), g as (select k, min(id) as id_kept from f group by k having count(*) > 1) select id_kept, f.id as id_copy from f join g using (k) where f.id <> id_kept",
-        "p4_collapsed": f"with f as (select id, min(struct_pack(t := coalesce({_NORMAL.format('text')}, '∅'), a := {_NORMAL.format('annotated')})) as k from gen_kept where annotated is not null and id is not null group by id) select min(id) as id, count(*) as n_copies from f group by k",
+        "p2_sizes": f"select intent, cast(least(observed, needed) as bigint) as n, cast(least(observed, needed) as bigint) as ids from ({_REPORT}) where least(observed, needed) > 0",
+        "p4_found": f"with f as ({_forms(_NORMAL.format('text'), _WRITTEN)}), g as (select k, min(id) as id_kept from f group by k having count(*) > 1) select id_kept, f.id as id_copy from f join g using (k) where f.id <> id_kept",
+        "p4_collapsed": f"with f as ({_forms('coalesce(' + _NORMAL.format('text') + ', chr(8709))', '')}) select min(id) as id, count(*) as n_copies from f group by k",
     }
