@@ -120,10 +120,22 @@ def test_panel(spark):
     v = spark.createDataFrame(rows, VERDICT)
     got = {r.item_id: (r.votes, r.of, r.keep) for r in panel.majority(v).collect()}
     assert got == {"i": (1, 2, False), "j": (1, 3, False), "k": (1, 1, True)}
-    fixed = {r.item_id: (r.votes, r.keep, r.repaired, r.text) for r in panel.repair(v, F.array(F.lit("a"))).collect()}
-    assert fixed == {"i": (1, False, False, None), "j": (1, True, True, "مر بنا"), "k": (1, True, False, None)}
-    assert panel.majority(v, panel_size=3).where("item_id = 'k'").first().keep is False
+    fixed = {r.item_id: (r.votes, r.keep, r.repaired, r.text) for r in panel.repair(v, F.array(F.lit("a")), ["a", "b", "c"]).collect()}
+    assert fixed == {"i": (1, False, False, None), "j": (1, True, True, "مر بنا"), "k": (1, False, False, None)}
+    assert panel.majority(v, ["a", "b", "c"]).where("item_id = 'k'").first().keep is False
     assert panel.verdict_map(v).count() == 3
+    named = panel.verdict_map(v, ["a", "z"]).where("item_id = 'j'").first().per_annotator
+    assert named["a"].derja == "5" and named["z"].derja is None and len(named) == 2
+
+
+def test_panel_repair_by_the_first_annotator(spark):
+    """Markup is also repaired where the majority stands; nobody repairs in place of the first annotator."""
+    good, slots = (True, "yes", None), (True, "", "  مر   <a> بنا > ")
+    rows = [(1, "stands", "a", 1, "5", "5", *slots), (2, "stands", "b", 2, "5", "5", *good), (3, "stands", "c", 3, "5", "5", *good),
+            (4, "absent", "b", 2, "5", "5", *slots), (5, "absent", "c", 3, "5", "5", *good), (6, "other", "z", 9, "5", "5", *good),
+            (7, "empty", "a", 1, "5", "5", True, "", ""), (8, "empty", "b", 2, "5", "5", *good), (9, "broken", "a", 1, "5", "5", True, "", "<q> x >"), (10, "broken", "b", 2, "5", "5", *good)]
+    got = {r.item_id: (r.votes, r.keep, r.annotated) for r in panel.repair(spark.createDataFrame(rows, VERDICT), F.array(F.lit("a")), ["a", "b", "c"]).collect()}
+    assert got == {"stands": (2, True, "مر <a> بنا >"), "absent": (1, False, None), "other": (0, False, None), "empty": (1, False, None), "broken": (1, False, None)}
 
 
 def test_reference_pool(spark):
@@ -200,6 +212,8 @@ def test_records(spark):
     assert {(r.id, r.t) for r in records.first_wins(df, "id", "seq").collect()} == {("a", "y"), ("b", None)}
     assert {(r.id, r.t) for r in records.last_wins(df, "id", "seq").collect()} == {("a", "x"), ("b", None)}
     assert records.last_n(df, "seq", 2).where("holdout").count() == 2
+    tied = spark.createDataFrame([(f"i{k}", 1) for k in range(9)] + [("n", None)], "id string, seq int")
+    assert sorted(r.id for r in records.last_n(tied, "seq", 3, ("id",)).where("holdout").collect()) == ["i6", "i7", "i8"]
     d = spark.createDataFrame([("2.5",), ("10.01",), ("x",), (None,)], "d string")
     assert d.where(records.duration_between(F.col("d"))).count() == 1 and d.where(records.duration_between(F.col("d"), keep_bad=True)).count() == 3
 

@@ -132,3 +132,24 @@ def test_stage(spark):
     df = stage(spark.range(5).withColumn("x", F.array(F.col("id"))))
     assert df.count() == 5 and shared_dir(spark) == shared_dir(spark)
     assert stage(df.limit(0)).count() == 0
+
+
+def test_resampled():
+    import numpy as np
+
+    t = np.arange(8000) / 8000
+    x = np.sin(2 * np.pi * 440 * t).astype("float32")
+    up = readers.resampled(x, 8000, 16000)
+    assert len(up) == 16000 and np.abs(up[200:-200] - np.sin(2 * np.pi * 440 * np.arange(16000) / 16000)[200:-200]).max() < 0.01
+    high = np.sin(2 * np.pi * 3500 * t).astype("float32")  # above what 4,000 samples a second can hold
+    assert np.abs(readers.resampled(high, 8000, 4000)[100:-100]).max() < 0.05
+    assert readers.resampled(x, 8000, 8000) is x and len(readers.resampled(x[:0], 8000, 4000)) == 0
+
+
+def test_queries_of_files(spark):
+    """Each query that writes and reads back runs on the smallest tables."""
+    from uttera.plans import files
+
+    d = "/root/testdata/sf0.001"
+    for name in ("csv_round_trip", "jsonl_round_trip", "training_logs", "tsv_round_trip", "sound_round_trip", "tensor_round_trip", "sounds_spoken", "stream_first_seen"):
+        assert files.QUERIES[name](spark, d).count() > 0, name

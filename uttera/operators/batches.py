@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from uttera.functions.text import hash_mod
 from uttera.session import stage
 
-BATCH, PARAPHRASES, SEED, SHOTS = 20, 60, 17, 6
+BATCH, PARAPHRASES, SEED = 20, 60, 17
+#: Examples of a prompt, and how many of them are the same in every prompt.
+SHOTS, ANCHORS = 6, 2
 
 
 def _starts(upto: Column, batch: int) -> Column:
@@ -40,8 +42,8 @@ def resume(plan: DataFrame, done: DataFrame, id_col: str, done_col: str = "id")
     return plan.join(done.select(F.col(done_col).alias(id_col)).distinct(), id_col, "left_anti")
 
 
-def shots(plan: DataFrame, pool: DataFrame, seed: int = SEED, k: int = SHOTS) -> DataFrame:
-    """(batch_id, id, pos): ``k`` examples of its intent for each batch, without replacement, in an order keyed by seed and batch.
+def shots(plan: DataFrame, pool: DataFrame, seed: int = SEED, k: int = SHOTS - ANCHORS) -> DataFrame:
+    """(batch_id, id, pos): ``k`` examples of its intent, or all there are for each batch, without replacement, in an order keyed by seed and batch.
 
     ``pool`` is (intent, id), all of which are offered: places are drawn out of
     the intent's count (Floyd's sampling) by the hash of seed, batch and draw,
@@ -65,6 +67,35 @@ def shots(plan: DataFrame, pool: DataFrame, seed: int = SEED, k: int = SHOTS) ->
     return at.join(p, ["intent", "position"]).withColumn("pos", pos).select("batch_id", "id", "pos")
 
 
+def sources(plan: DataFrame, pool: DataFrame, seed: int = SEED) -> DataFrame:
+    """(batch_id, id): for each paraphrase batch of ``plan`` one of all examples (intent, id) of its intent, by the hash of seed and batch."""
+    p = positions(pool.select("intent", "id"), ["intent", "id"])
+    size = p.groupBy("intent").agg(F.min("position").alias("_f"), F.count("*").alias("_n"))
+    at = plan.where("mode = 'paraphrase'").join(size, "intent")
+    place = F.col("_f") + hash_mod(F.concat_ws(":", F.lit(str(seed)), F.col("batch_id"), F.lit("source")), F.col("_n"))
+    return at.select("batch_id", "intent", place.alias("position")).join(p, ["intent", "position"]).select("batch_id", "id")
+
+
+def prompts(plan: DataFrame, examples: DataFrame, combos: DataFrame, paraphrased: DataFrame, head: str, tasks: dict[str, str], anchors: tuple[str, ...] = ()) -> DataFrame:
+    """(batch_id, prompt): the text that asks for a batch.
+
+    ``head``; the ``anchors`` and then the batch's ``examples`` (batch_id, pos,
+    example), one a line; the task of the batch's mode with {n} and {intent}
+    filled; of coverage batches the label lists of ``combos`` (batch_id, place,
+    item), of paraphrase batches the markup of ``paraphrased`` (batch_id,
+    source).  A batch has as many rows of either as its plan says, which bounds
+    what is put together.
+    """
+    lines = lambda df, by, what: df.groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, what))), lambda x: x[what]), "\n").alias(what))
+    p = plan.join(lines(examples, "pos", "example"), "batch_id", "left").join(lines(combos, "place", "item"), "batch_id", "left").join(paraphrased, "batch_id", "left")
+    task = F.lit(None).cast("string")
+    for mode, text in tasks.items():
+        task = F.when(F.col("mode") == mode, F.lit(text)).otherwise(task)
+    task = F.replace(F.replace(task, F.lit("{n}"), F.col("n").cast("string")), F.lit("{intent}"), F.col("intent"))
+    more = F.when(F.col("mode") == "coverage", F.col("item")).when(F.col("mode") == "paraphrase", F.col("source"))
+    return p.select("batch_id", F.concat_ws("\n", F.lit(head), *[F.lit(x) for x in anchors], "example", task, more).alias("prompt"))
+
+
 def picks(plan: DataFrame, pool: DataFrame, seed: int = SEED) -> DataFrame:
     """(batch_id, place, item): for each place of a batch one item of its intent's pool, with replacement.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +62,23 @@ def joint_targets(rows: DataFrame) -> DataFrame:
     return rows.select("ID", F.inline(pair)).where("target is not null")
 
 
-def within(df: DataFrame, col: str, most: int = 225) -> DataFrame:
-    """Rows whose target has at most ``most`` words."""
-    return df.where(n_tokens(F.col(col)) <= most)
+def within(df: DataFrame, col: str, most: int = 225, length: Callable[[Column], Column] = n_tokens) -> DataFrame:
+    """Rows whose target has at most ``most`` tokens, as ``length`` counts them: words, or a tokenizer's tokens."""
+    return df.where(length(F.col(col)) <= most)
+
+
+def without_field(chats: DataFrame, *fields: str, col: str = "meta") -> DataFrame:
+    """``chats`` without the given fields of a struct; those it doesn't have are ignored."""
+    there = [f for f in fields if f in chats.schema[col].dataType.names]
+    return chats.withColumn(col, F.col(col).dropFields(*there)) if there else chats
+
+
+def with_defaults(chats: DataFrame, values: dict[str, str], col: str = "meta") -> DataFrame:
+    """``chats`` with fields of a struct filled where they are null or absent."""
+    have, out = chats.schema[col].dataType.names, F.col(col)
+    for k, v in values.items():
+        out = out.withField(k, F.coalesce(F.col(f"{col}.{k}"), F.lit(v)) if k in have else F.lit(v))
+    return chats.withColumn(col, out)
 
 
 def reprompted(chats: DataFrame, prompt: str, suffix: str = "_open") -> DataFrame:

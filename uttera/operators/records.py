@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from uttera.functions.text import hash_mod
+
 
 def first_wins(df: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     """The row of least seq of each id; partial aggregation, no sort."""
@@ -30,15 +32,16 @@ def with_gold(df: DataFrame, gold_col: str) -> DataFrame:
     return df.where(F.regexp_like(gold_col, F.lit(r"(?U)\S")))
 
 
-def last_n(df: DataFrame, seq_col: str, n: int) -> DataFrame:
-    """``df`` with holdout: whether a row is among the last n in the order of seq."""
-    cut = df.select(seq_col).orderBy(F.desc(seq_col)).limit(n).agg(F.min(seq_col)).scalar()
-    return df.withColumn("holdout", F.coalesce(F.col(seq_col) >= cut, F.lit(False)))
+def last_n(df: DataFrame, seq_col: str, n: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with holdout: whether a row is among the last n in the order of seq, then of ``ties``, which together should be unique."""
+    key = F.struct(seq_col, *ties)
+    cut = df.where(F.col(seq_col).isNotNull()).select(key.alias("k")).orderBy(F.desc("k")).limit(n).agg(F.min("k")).scalar()
+    return df.withColumn("holdout", F.coalesce(F.col(seq_col).isNotNull() & (key >= cut), F.lit(False)))
 
 
 def random_split(df: DataFrame, id_col: str, percent: int = 1, seed: int = 42) -> DataFrame:
     """``df`` with is_test for about ``percent`` of 100 ids, by a hash."""
-    return df.withColumn("is_test", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(100)) < percent)
+    return df.withColumn("is_test", F.coalesce(hash_mod(F.concat_ws(":", F.lit(str(seed)), F.col(id_col)), 100) < percent, F.lit(False)))
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int = 17) -> DataFrame:

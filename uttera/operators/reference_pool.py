@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from uttera.functions.edits import cer, wer
 from uttera.functions.text import hash_mod
 from uttera.operators.batches import positions
+from uttera.session import stage
 
 
 def scored(pairs: DataFrame, ref: str = "gold", hyp: str = "hyp") -> DataFrame:
@@ -22,8 +23,9 @@ def latest_scores(scores: DataFrame, id_col: str = "id", seq_col: str = "seq") -
 
 
 def reference_pool(scores: DataFrame, most: float = 0.15, top: int = 0, always: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of the pool with pos, by score and first place: the ``top`` best, or all up to ``most``; then those of ``always`` that aren't in it."""
+    """(id, seq, first_seq, wer, pos) of the pool, by score and first place: the ``top`` best, or all up to ``most``; then those of ``always`` that aren't in it."""
     s = latest_scores(scores)
+    s = stage(s.select("id", "seq", "first_seq", "wer"))  # distances are computed once
     best = s.orderBy("wer", "first_seq").limit(top) if top else s.where(F.col("wer") <= most)
     best = best.withColumn("_late", F.lit(0))
     if always:
@@ -37,7 +39,8 @@ def pool_stats(scores: DataFrame) -> DataFrame:
     return latest_scores(scores).agg(F.count("*").alias("n"), F.min("wer").alias("least"), F.median("wer").alias("median"), F.avg("wer").alias("mean"))
 
 
-def assign(items: DataFrame, pool: DataFrame, n: int, id_col: str = "id", retry: bool = False) -> DataFrame:
-    """``items`` with the reference (ref_id) at the place their id's hash names among the ``n`` of ``pool`` (pos, ref_id)."""
+def assign(items: DataFrame, pool: DataFrame, id_col: str = "id", retry: bool = False) -> DataFrame:
+    """``items`` with the reference (ref_id) at the place their id's hash names in ``pool`` (pos from 0 without gaps, ref_id); with ``retry`` another place."""
+    n = (pool.agg(F.max("pos")).first()[0] or 0) + 1
     key = F.concat(F.col(id_col), F.lit("#retry")) if retry else F.col(id_col)
     return items.withColumn("pos", hash_mod(key, n).cast("int")).join(pool.select(F.col("pos").cast("int").alias("pos"), "ref_id"), "pos")

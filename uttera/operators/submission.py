@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uttera.functions.text import number_prefix, scenario
+from uttera.session import bounded
 
 
 def canonical(c: Column, names: dict[str, str]) -> Column:
@@ -26,7 +27,7 @@ def abstain(df: DataFrame, intent_col: str, names: dict[str, str], catch_all: st
     ``known`` (label) is a bounded inventory.
     """
     i = canonical(F.col(intent_col), names)
-    k = F.broadcast(known.select(F.col("label").alias("_i"), F.lit(True).alias("_known")).distinct())
+    k = bounded(known.select(F.col("label").alias("_i"), F.lit(True).alias("_known")).distinct(), 100_000)
     r = df.withColumn("_i", i).join(k, "_i", "left")
     x = F.col("_i")
     outside = F.col("_known").isNull() | ~scenario(x).isin(*scenarios)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from uttera.functions.annotation import parse
 from uttera.functions.text import ARABIC, n_tokens, script_ok, squeeze
 from uttera.operators.records import first_wins
+from uttera.session import bounded
 
 
 def cascade(items: DataFrame, labels: Column, intents: DataFrame, script: str = ARABIC, shortest: int = 2, longest: int = 25) -> DataFrame:
@@ -19,7 +20,7 @@ def cascade(items: DataFrame, labels: Column, intents: DataFrame, script: str =
     """
     one = first_wins(items.select("id", "seq", "text", "annotated", "intent"), "id", "seq")
     a, t = squeeze(F.coalesce("annotated", F.lit(""))), squeeze(F.coalesce("text", F.lit("")))
-    known = F.broadcast(intents.select(F.col("intent"), F.lit(True).alias("_known")).distinct())
+    known = bounded(intents.select(F.col("intent"), F.lit(True).alias("_known")).distinct(), 100_000)
     r = one.withColumn("annotated", a).withColumn("text", t).withColumn("_p", parse(F.col("annotated"), labels)).join(known, "intent", "left")
     r = r.withColumn("text", F.coalesce(F.nullif("text", F.lit("")), F.col("_p.text"), F.lit("")))
     n = n_tokens(F.col("text"))

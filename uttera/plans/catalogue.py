@@ -160,11 +160,35 @@ def batch_shots(s, d):
     return batches.shots(_plan(s, d), pool)
 
 
+def picks_of(s, d):
+    pool = slot_combinations(s, d).select("intent", (F.col("rank") - 1).alias("pos"), F.array_join("combo", ",").alias("item"))
+    return batches.picks(_plan(s, d).where("mode = 'coverage'"), pool)
+
+
 @query
 def batch_combinations(s, d):
     """A label list for each place of the coverage batches, drawn with replacement from the intent's most frequent ones."""
-    pool = slot_combinations(s, d).select("intent", (F.col("rank") - 1).alias("pos"), F.array_join("combo", ",").alias("item"))
-    return batches.picks(_plan(s, d).where("mode = 'coverage'"), pool)
+    return picks_of(s, d)
+
+
+@query
+def batch_sources(s, d):
+    return batches.sources(_plan(s, d), train(s, d, "intent").where("intent is not null").select("intent", "id"))
+
+
+HEAD = "Write utterances in the style of the examples."
+TASKS = {"coverage": "{n} new ones of {intent}, with these labels:", "paraphrase": "{n} paraphrases for {intent} of:", "distractor": "{n} new ones of {intent} without slots."}
+
+
+@query
+def batch_prompts(s, d):
+    """The whole prompt of each batch: head, anchor, drawn examples, task, label lists or the source of paraphrases."""
+    t = train(s, d, "intent", "tun_slu_annotation").where("intent is not null")
+    markup = t.select("id", F.coalesce("tun_slu_annotation", F.lit("")).alias("markup"))
+    drawn = batch_shots(s, d).join(markup, "id").select("batch_id", "pos", F.col("markup").alias("example"))
+    source = batches.sources(_plan(s, d), t.select("intent", "id")).join(markup, "id").select("batch_id", F.col("markup").alias("source"))
+    combos = picks_of(s, d).select("batch_id", "place", "item")
+    return batches.prompts(_plan(s, d), drawn, combos, source, HEAD, TASKS, ("x <time> y >",))
 
 
 @query
@@ -226,6 +250,9 @@ def text_score_form(s, d):
 
 # -- judging -----------------------------------------------------------------------
 
+#: A named panel; its first annotator may repair markup.
+PANEL = ["judge_01", "judge_02", "judge_03", "judge_08", "judge_09"]
+
 
 @query
 def panel_majority(s, d):
@@ -234,8 +261,13 @@ def panel_majority(s, d):
 
 @query
 def panel_repair(s, d):
-    r = panel.repair(table(s, d, "gen_judged"), slot_labels(s, d))
-    return r.select("item_id", "votes", "of", "keep", "repaired", "text")
+    r = panel.repair(table(s, d, "gen_judged"), slot_labels(s, d), PANEL)
+    return r.select("item_id", "votes", "of", "keep", "repaired", "annotated", "text")
+
+
+@query
+def panel_named(s, d):
+    return panel.majority(table(s, d, "gen_judged"), PANEL)
 
 
 @query
@@ -244,6 +276,13 @@ def panel_verdicts(s, d):
     return m.select("item_id", F.size("per_annotator").alias("n"), F.array_join(F.array_sort(F.map_keys("per_annotator")), ",").alias("annotators"))
 
 
+@query
+def panel_verdicts_named(s, d):
+    """Every annotator of the panel for every item, with null answers where a verdict is missing."""
+    m = panel.verdict_map(table(s, d, "gen_judged"), PANEL)
+    return m.select("item_id", F.explode("per_annotator").alias("annotator", "v")).select("item_id", "annotator", "v.derja", "v.natural", "v.intent_match", "v.slots_ok")
+
+
 @query
 def unjudged_items(s, d):
     done = table(s, d, "gen_judged").select(F.col("item_id").alias("id"))
@@ -278,7 +317,8 @@ def reference_stats(s, d):
 def references_assigned(s, d):
     pool = batches.positions(table(s, d, "name_list").where("given_name is not null"), ["given_name", "script"]).select(F.col("position").alias("pos"), F.col("given_name").alias("ref_id"))
     items = table(s, d, "gen_kept").select("id").distinct()
-    return reference_pool.assign(items, pool, 150).select("id", "pos", "ref_id")
+    first, again = reference_pool.assign(items, pool), reference_pool.assign(items, pool, retry=True)
+    return first.join(again.select("id", F.col("ref_id").alias("retry_ref_id")), "id").select("id", "pos", "ref_id", "retry_ref_id")
 
 
 @query
@@ -445,14 +485,18 @@ def best_checkpoints(s, d):
     return checkpoints.best_steps(rows).select("run", "step", "eval_loss")
 
 
-@query
-def adapter_deltas(s, d):
+def adapter_factors(s: SparkSession, d: str) -> DataFrame:
     """Embeddings as low-rank factors: of each 32, the first 16 are the rows of A and the others the columns of B."""
     e = table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "val")).withColumn("val", F.col("val").cast("double"))
     k, name = F.col("vec_id") % 32, lambda part: F.concat(F.lit("base_model.model.q"), F.floor(F.col("vec_id") / 32).cast("string"), F.lit(f".lora_{part}.weight")).alias("key")
     a = e.where(k < 16).select(name("A"), k.alias("row"), F.col("pos").cast("bigint").alias("col"), "val")
     b = e.where(k >= 16).select(name("B"), F.col("pos").cast("bigint").alias("row"), (k - 16).alias("col"), "val")
-    return adapters.deltas(a.unionByName(b)).select("key", "row", "col", (F.round("val", 6) + 0.0).alias("val"))
+    return a.unionByName(b)
+
+
+@query
+def adapter_deltas(s, d):
+    return adapters.deltas(adapter_factors(s, d)).select("key", "row", "col", (F.round("val", 6) + 0.0).alias("val"))
 
 
 @query
@@ -480,8 +524,8 @@ def last_records(s, d):
 
 @query
 def holdout_rows(s, d):
-    o = table(s, d, "orders").select("o_orderkey")
-    return records.last_n(o, "o_orderkey", 50)
+    o = table(s, d, "orders").select("o_orderkey", "o_orderdate")
+    return records.last_n(o, "o_orderdate", 50, ("o_orderkey",)).select("o_orderkey", "holdout")
 
 
 @query

@@ -29,7 +29,8 @@ def append_new(df: DataFrame, done: DataFrame | None, id_col: str, path: str) ->
 
 
 def csv_manifest(df: DataFrame, path: str) -> None:
-    df.select(*FIELDS).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=False, emptyValue="")
+    """A manifest with doubled quotes; white space at the ends of cells stays."""
+    df.select(*FIELDS).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def label_list(df: DataFrame, path: str, col: str = "label") -> None:
