@@ -18,6 +18,7 @@ is an item like any other; no other item is cut.
 from __future__ import annotations
 
 import bisect
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -79,8 +80,12 @@ def best_pattern(sizes: list[int], value: np.ndarray, most: np.ndarray, capacity
     return float(best[capacity]), pattern
 
 
-def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds: int = 600) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often to use each, from the linear programme of the fewest containers."""
+def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds: int = 5000) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often to use each, from the linear programme of the fewest containers.
+
+    Rounds end at the optimum; should ``rounds`` end them, which a warning tells,
+    the patterns are valid all the same but may need more containers.
+    """
     k = len(sizes)
     cols = [np.eye(k, dtype=np.int64)[i] * max(1, min(capacity // sizes[i], int(demand[i]))) for i in range(k)]
     inv = np.diag([1.0 / c[i] for i, c in enumerate(cols)])
@@ -103,6 +108,8 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds:
         inv = inv - np.outer(d, row)
         inv[r] = row
         cols[r] = pattern
+    else:
+        warnings.warn(f"the plan is not optimal after {rounds} rounds", stacklevel=2)
     return [(c, float(v)) for c, v in zip(cols, x, strict=True) if v > 1e-9]
 
 
@@ -161,8 +168,14 @@ class Plan:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> Plan:
-    """The best plan of several numbers of groups."""
-    return min((plan_of(counts, capacity, g) for g in groups), key=lambda p: p.used)
+    """The best plan of several numbers of groups; one that no packing can go below ends the search."""
+    least, best = -(-sum(s * c for s, c in counts.items() if 0 < s <= capacity) // capacity), None
+    for g in groups:
+        p = plan_of(counts, capacity, g)
+        best = p if best is None or p.used < best.used else best
+        if best.used <= least:
+            break
+    return best
 
 
 def plan_of(counts: dict[int, int], capacity: int, groups: int) -> Plan:
