@@ -8,13 +8,20 @@ t |A| <= |B| <= |A| / t, and only candidates are compared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uttera.functions.text import jaccard, trigrams
 from uttera.session import stage
 
 THRESHOLD = 0.85
+#: Grams in up to this share of the sets count as equally rare.
+RANKED = 0.00025
 
 
 def _sets(df: DataFrame) -> DataFrame:
@@ -24,21 +31,44 @@ def _sets(df: DataFrame) -> DataFrame:
     return one.select("intent", F.xxhash64("t").alias("key"), F.transform(trigrams(F.col("t")), lambda g: F.xxhash64(g)).alias("grams")).withColumn("n", F.size("grams"))
 
 
-def _prefixes(sets: DataFrame, weight: DataFrame, t: float) -> DataFrame:
-    """(intent, key, n, gram): the rarest pieces of each set."""
-    g = sets.select("intent", "key", "n", F.explode("grams").alias("gram")).join(weight, "gram")
-    k = F.row_number().over(Window.partitionBy("intent", "key").orderBy("df", "gram"))
-    return g.withColumn("k", k).where(F.col("k") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1).select("intent", "key", "n", "gram")
+def _often(a: DataFrame, b: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, sets that have it) of the grams in more than RANKED of the sets, by gram; at most (grams a set) / RANKED, however many sets there are."""
+    both = a.select("grams").unionByName(b.select("grams"))
+    t = both.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > RANKED * both.count()).toArrow()
+    g, n = t.column(0).to_numpy(), t.column(1).to_numpy()
+    o = np.argsort(g)
+    return g[o], n[o]
+
+
+def _prefixes(sets: DataFrame, often: tuple[np.ndarray, np.ndarray], t: float) -> DataFrame:
+    """(intent, key, n, gram): the rarest grams of each set, chosen in Arrow batches, so that only these are shuffled."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            grams = part.column(2)
+            n, g = np.diff(grams.offsets.to_numpy()), grams.flatten().to_numpy()
+            row, count = np.repeat(np.arange(len(n)), n), np.zeros(len(g), np.int64)
+            if len(often[0]):
+                at = np.minimum(np.searchsorted(often[0], g), len(often[0]) - 1)
+                count = np.where(often[0][at] == g, often[1][at], 0)
+            o = np.lexsort((g, count, row))
+            row, g = row[o], g[o]
+            keep = np.arange(len(g)) - (np.cumsum(n) - n)[row] <= (n - np.ceil(t * n - 1e-9))[row]
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(g[keep])], ["intent", "key", "n", "gram"])
+
+    return sets.select("intent", "key", "grams").mapInArrow(run, "intent string, key long, n int, gram long")
 
 
 def similar(a: DataFrame, b: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """(intent, key_a, key_b): pairs of sets of :func:`_sets` within an intent of similarity t or more, a set with itself too."""
-    weight = a.select("intent", "key", "grams").union(b.select("intent", "key", "grams")).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    pa, pb = _prefixes(a, weight, t).toDF("intent", "key_a", "na", "gram"), _prefixes(b, weight, t).toDF("intent", "key_b", "nb", "gram")
+    often = _often(a, b)
+    x, y = _prefixes(a, often, t).toDF("intent", "key_a", "na", "gram"), _prefixes(b, often, t).toDF("intent", "key_b", "nb", "gram")
     near = (F.col("nb") >= F.col("na") * t - 1e-9) & (F.col("na") >= F.col("nb") * t - 1e-9)
-    pairs = pa.join(pb, ["intent", "gram"]).where(near).select("intent", "key_a", "key_b").distinct()
+    pairs = x.join(y.hint("merge"), ["intent", "gram"])  # no side is broadcast, for all grow
+    pairs = pairs.where(near).select("intent", "key_a", "key_b").distinct()
     ga, gb = a.select("intent", F.col("key").alias("key_a"), F.col("grams").alias("ga")), b.select("intent", F.col("key").alias("key_b"), F.col("grams").alias("gb"))
-    return pairs.join(ga, ["intent", "key_a"]).join(gb, ["intent", "key_b"]).where(jaccard(F.col("ga"), F.col("gb")) >= t).select("intent", "key_a", "key_b")
+    return pairs.join(ga.hint("merge"), ["intent", "key_a"]).join(gb.hint("merge"), ["intent", "key_b"]).where(jaccard(F.col("ga"), F.col("gb")) >= t).select("intent", "key_a", "key_b")
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -47,9 +77,10 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 def near_gold(items: DataFrame, gold: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """``items`` (intent, text, ...) with near_gold: whether a gold text of the intent is similar.  Null texts and intents are none."""
+    items = stage(items)  # what it takes to make them is done once
     pairs = similar(stage(_sets(items.where("text is not null"))), stage(_sets(gold.where("text is not null"))), t)
     hit = pairs.select("intent", F.col("key_a").alias("_key"), F.lit(True).alias("_hit")).distinct()
-    return _keyed(items).join(hit, ["intent", "_key"], "left").withColumn("near_gold", F.coalesce("_hit", F.lit(False))).drop("_hit", "_key")
+    return _keyed(items).join(hit.hint("merge"), ["intent", "_key"], "left").withColumn("near_gold", F.coalesce("_hit", F.lit(False))).drop("_hit", "_key")
 
 
 def greedy(items: DataFrame, gold: DataFrame | None = None, t: float = THRESHOLD) -> DataFrame:
@@ -59,30 +90,29 @@ def greedy(items: DataFrame, gold: DataFrame | None = None, t: float = THRESHOLD
     maximal independent set in the order of seq, by rounds: an item is accepted
     when all its earlier neighbours are rejected, and rejected when one is
     accepted; each round decides at least the first undecided item of every
-    chain.  State is written to the shared folder between rounds.
+    chain, and leaves only the edges between the undecided.  State is written to
+    the shared folder between rounds.
     """
+    items = stage(items)
     known = items.where("text is not null and intent is not null")
     first = _keyed(known).groupBy("intent", "_key").agg(F.min("seq").alias("seq")).withColumnRenamed("_key", "key")
     sets = stage(_sets(known).join(first, ["intent", "key"]))
     node = sets.select("intent", "key", "seq")
     if gold is not None:
         hit = similar(sets.drop("seq"), _sets(gold.where("text is not null")), t).select("intent", F.col("key_a").alias("key")).distinct()
-        node = node.join(hit, ["intent", "key"], "left_anti")
+        node = node.join(hit.hint("merge"), ["intent", "key"], "left_anti")
     node = stage(node)
-    live = sets.join(node.select("intent", "key"), ["intent", "key"], "left_semi").drop("seq")
+    live = sets.join(node.select("intent", "key").hint("merge"), ["intent", "key"], "left_semi").drop("seq")
     pairs = similar(live, live, t).where("key_a <> key_b")
-    e = pairs.join(node.toDF("intent", "key_a", "early"), ["intent", "key_a"]).join(node.toDF("intent", "key_b", "late"), ["intent", "key_b"])
+    e = pairs.join(node.toDF("intent", "key_a", "early").hint("merge"), ["intent", "key_a"]).join(node.toDF("intent", "key_b", "late").hint("merge"), ["intent", "key_b"])
     edges = stage(e.where("early < late").select("early", "late"))
-    open_ = stage(edges.select(F.col("late").alias("seq")).distinct())  # all others are accepted outright
-    gone = None
-    while open_.limit(1).count():
-        waiting = edges.join(open_.toDF("early"), "early", "left_semi").select(F.col("late").alias("seq")).distinct()
-        alive = edges if gone is None else edges.join(gone.toDF("early"), "early", "left_anti")
-        taken = alive.join(open_.toDF("early"), "early", "left_anti")
-        lost = open_.join(taken.select(F.col("late").alias("seq")).distinct(), "seq", "left_semi")
-        gone = stage(lost if gone is None else gone.unionByName(lost))
-        rest = open_.join(gone, "seq", "left_anti")
-        # of the rest, those without undecided or accepted earlier neighbours are accepted now
-        open_ = stage(rest.join(waiting, "seq", "left_semi"))
-    kept = node.select("seq") if gone is None else node.select("seq").join(gone, "seq", "left_anti")
+    gone: list[DataFrame] = []
+    while edges.limit(1).count():  # edges lead to the undecided; an earlier item that isn't one of these is accepted
+        waiting = edges.select(F.col("late").alias("early")).distinct()
+        lost = stage(edges.join(waiting.hint("merge"), "early", "left_anti").select("late").distinct())
+        edges = stage(edges.join(lost.hint("merge"), "late", "left_anti").join(lost.toDF("early").hint("merge"), "early", "left_anti"))
+        gone.append(lost)
+    kept = node.select("seq")
+    if gone:
+        kept = kept.join(reduce(DataFrame.unionByName, gone).toDF("seq"), "seq", "left_anti")
     return items.join(kept.withColumn("accepted", F.lit(True)), "seq", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
