@@ -153,3 +153,19 @@ def test_queries_of_files(spark):
     d = "/root/testdata/sf0.001"
     for name in ("csv_round_trip", "jsonl_round_trip", "training_logs", "tsv_round_trip", "sound_round_trip", "tensor_round_trip", "sounds_spoken", "stream_first_seen"):
         assert files.QUERIES[name](spark, d).count() > 0, name
+
+
+def test_staging_cleans_up(spark):
+    import os
+
+    from uttera import session
+
+    with session.staging(spark):
+        t = session.stage(spark.range(10))
+        at = t.inputFiles()[0].removeprefix("file://")
+        assert t.count() == 10 and os.path.exists(at)
+    assert not os.path.exists(at)
+    assert session.stage(spark.range(3)).count() == 3
+    small, large = session.bounded(spark.range(3), 3), session.bounded(spark.range(4), 3)
+    plan = lambda x: spark.range(9).join(x, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(small) and "broadcast" not in plan(large)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +43,33 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_within: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables staged within; for long sessions, around what is written or collected inside."""
+    _within.append([])
+    try:
+        yield
+    finally:
+        for path in _within.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     Cuts the lineage like ``checkpoint()`` but keeps the table columnar and
     compressed, so that later steps read only the columns they need; a lost
-    executor costs nothing, for the files are in shared storage.
+    executor costs nothing, for the files are in shared storage.  The table goes
+    with the driver, or earlier with :func:`staging`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/uttera-{uuid.uuid4().hex}"
+    if _within:
+        _within[-1].append(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the driver, whose results may read it until then
     df.write.option("compression", "zstd").parquet(path)
