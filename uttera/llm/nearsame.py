@@ -84,9 +84,14 @@ def found(gen_kept: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     copies don't meet each other.  A null annotation makes an id a p4 record of its own.
     """
     x = near_same(gen_kept, threshold)
-    same = merkle.records(merkle.nested(gen_kept.where("annotated is not null")), "id", merkle.FIELDS, merkle.UNORDERED).select("id", "digest")
-    m = stage(x["members"].join(same.hint("merge"), "id", "left").select("id", "key", F.coalesce("digest", F.concat(F.lit("id:"), "id")).alias("record")))
     links = stage(x["links"].select("key_a", "key_b"))
+    # p4's record matters only for ids whose class is linked or holds several
+    several = x["members"].groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    some = links.select(F.col("key_a").alias("key")).unionByName(links.select(F.col("key_b").alias("key"))).unionByName(several).distinct()
+    m = stage(x["members"].join(some.hint("merge"), "key", "left_semi"))
+    rows = gen_kept.where("annotated is not null").withColumn("id", F.col("id").cast("string")).join(m.select("id").hint("merge"), "id", "left_semi")
+    same = merkle.records(merkle.nested(rows), "id", merkle.FIELDS, merkle.UNORDERED).select("id", "digest")
+    m = stage(m.join(same.hint("merge"), "id", "left").select("id", "key", F.coalesce("digest", F.concat(F.lit("id:"), "id")).alias("record")))
     across = links.join(m.toDF("a", "key_a", "ra").hint("merge"), "key_a").join(m.toDF("b", "key_b", "rb").hint("merge"), "key_b").where("ra <> rb").select("a", "b")
     kinds = m.select("key", "record").distinct()
     several = kinds.groupBy("key").count().where("count > 1").select("key")
