@@ -32,6 +32,7 @@ from uttera.llm.tagger import Tagger
 MODEL = Path(__file__).with_name("privacy_model.npz")
 LONGEST, OVERLAP = 1024, 128
 AT_ONCE, TEXTS = 192, 1024
+SPLIT = 32 << 20
 #: Added to the score of entering a span of each kind, set on texts that the fit hasn't seen: the exact check guards what it lets in.
 ENTER = {"email": 7.0, "phone": 4.0, "id_number": 4.0, "address": 3.0, "person": 3.5}
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
@@ -229,6 +230,13 @@ def find(texts: list[str | None], names: Iterable[str] = (), finder: Finder | No
     return out
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """``texts`` dealt out to the cores where files are so few or small that a core would have less than SPLIT bytes to read; decoding costs a hundred times the shuffle."""
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(2 * cores) if size < cores * SPLIT else texts
+
+
 def find_private(docs: DataFrame, id_col: str, text_col: str, names: DataFrame | None = None, name_col: str = "given_name") -> DataFrame:
     """One row (id, kind, start_pos, end_pos, value) for each occurrence in ``text_col``.
 
@@ -236,8 +244,8 @@ def find_private(docs: DataFrame, id_col: str, text_col: str, names: DataFrame |
     character.  ``names`` is a list of given names of proven bound (it goes into
     the tasks' closure; more than 100,000 are refused).  Null and empty texts
     have no rows; a text that repeats, or a row that does, has its rows again.
-    Texts of any length are read in windows.  Other columns are ignored; no
-    shuffle takes place.
+    Texts of any length are read in windows.  Other columns are ignored; texts
+    are shuffled only if they are few (:func:`spread`).
     """
     listed: list[str] = []
     if names is not None:
@@ -257,7 +265,7 @@ def find_private(docs: DataFrame, id_col: str, text_col: str, names: DataFrame |
 
     kind = dict(docs.dtypes)[id_col]
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
-    return src.mapInArrow(run, FOUND).withColumn("id", F.col("id").cast(kind))
+    return spread(src).mapInArrow(run, FOUND).withColumn("id", F.col("id").cast(kind))
 
 
 def mask(docs: DataFrame, id_col: str, text_col: str, names: DataFrame | None = None, name_col: str = "given_name") -> DataFrame:
@@ -286,4 +294,4 @@ def mask(docs: DataFrame, id_col: str, text_col: str, names: DataFrame | None =
 
     kind = dict(docs.dtypes)[id_col]
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id string, text string, n_found int").withColumn("id", F.col("id").cast(kind))
+    return spread(src).mapInArrow(run, "id string, text string, n_found int").withColumn("id", F.col("id").cast(kind))
