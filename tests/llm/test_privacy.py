@@ -147,6 +147,21 @@ def test_decode_is_viterbi():
     assert sum(0.02 < x < 0.9 for x in some) >= 2
 
 
+def test_decoding_follows_spans(monkeypatch):
+    """Viterbi reads the stretches that can hold a span, not all that surrounds them, and windows that end cost nothing."""
+    plain = "the second pass rejects the clip while the radio plays and the lamp stays on. "
+    texts = [plain * k for k in range(1, 13)] + [plain * 6 + "write to karwenn.belbila@poste.test today. " + plain * 4]
+    read, columns, viterbi, matmul = [], [], tagger.Tagger._viterbi, np.matmul
+    monkeypatch.setattr(tagger.Tagger, "_viterbi", lambda self, E, a, b, j, n, out: (read.append((b - a).sum()), viterbi(self, E, a, b, j, n, out)))
+    monkeypatch.setattr(np, "matmul", lambda x, y, out: (columns.append(y.shape[1]), matmul(x, y, out=out))[1])
+    got = privacy.find(texts * 8, NAMES)
+    monkeypatch.undo()
+    assert [len(x) for x in got[:13]] == [0] * 12 + [1]
+    size = 8 * sum(map(len, texts))
+    assert 0 < sum(read) < 0.3 * size
+    assert sum(columns) < 1.1 * 4 * size  # two products for each of two directions
+
+
 DATA = "/root/testdata/sf0.1/documents.parquet"
 
 

@@ -31,7 +31,7 @@ from uttera.llm.tagger import Tagger
 
 MODEL = Path(__file__).with_name("privacy_model.npz")
 LONGEST, OVERLAP = 1024, 128
-AT_ONCE, TEXTS = 192, 1024
+AT_ONCE, TEXTS = 384, 2048
 SPLIT = 32 << 20
 #: Added to the score of entering a span of each kind, set on texts that the fit hasn't seen: the exact check guards what it lets in.
 ENTER = {"email": 7.0, "phone": 4.0, "id_number": 4.0, "address": 3.0, "person": 3.5}

@@ -17,6 +17,8 @@ HIDDEN = 40
 EMBED = 24
 #: By how much a bound may be off for the rounding of running sums.
 SLACK = 0.05
+#: Windows that end are left out in blocks of so many.
+STEP = 8
 
 
 class Tagger:
@@ -79,11 +81,12 @@ class Tagger:
         self.V = [np.ascontiguousarray(w["V"][:h].T / 2), np.ascontiguousarray(w["V"][h:].T / 2)]
         self.trans = np.where(self.allowed, w["T"], -1e4).astype(np.float32)
         self.start = np.where([t[0] != "I" for t in self.tags], w["s"], -1e4).astype(np.float32)
-        # what a tag adds at most to a span that goes on, and what beginning and ending one adds
-        T, first = self.trans, [k for k, t in enumerate(self.tags) if t[0] == "B"]
-        self.inner = T[1:, 1:].max(0) - T[0, 0]
-        enter = np.maximum(T[0, first] - T[0, 0], self.start[first] - self.start[0]) - self.inner[np.array(first) - 1]
-        self.ends = float(enter.max() + max((T[1:, 0] - T[0, 0]).max(), 0))
+        # what beginning, continuing and ending a span of each kind adds at most, against O in its place
+        T, first = self.trans, np.array([k for k, t in enumerate(self.tags) if t[0] == "B"])
+        self.enter = np.maximum((T[:, first] - T[:, :1]).max(0), self.start[first] - self.start[0])
+        self.inner = np.maximum(T[first, first + 1], T[first + 1, first + 1]) - T[0, 0]
+        after = [0, *first]
+        self.leave = np.maximum(np.maximum(T[first][:, after], T[first + 1][:, after]) - T[0, after], 0).max(1)
 
     def _run(self, X: np.ndarray, d: str, keep: bool = False):
         T, B = X.shape
@@ -109,96 +112,121 @@ class Tagger:
                 Cs[t], G[t] = c, z
         return (H, Cs, G) if keep else H
 
-    def _emit(self, X: np.ndarray, d: str, out: np.ndarray) -> None:
-        """Adds one direction's scores to ``out`` (T, tags, B)."""
+    def _emit(self, X: np.ndarray, n: np.ndarray, d: str, out: np.ndarray) -> None:
+        """Adds one direction's scores to ``out`` (T, tags, B).
+
+        Windows have falling lengths ``n``, so that those that reach a step are
+        the first ones; only these are computed, in whole blocks of STEP.
+        """
         T, B = X.shape
-        h, table = self.hidden, self.table_t
-        x = np.zeros((h + len(table) + 1, B), np.float32)
-        z, c, t1, t2 = np.empty((4 * h, B), np.float32), np.zeros((h, B), np.float32), np.empty((h, B), np.float32), np.empty((h, B), np.float32)
-        y = np.empty(out.shape[1:], np.float32)
-        i, f, o, u = (z[k * h : (k + 1) * h] for k in range(4))
-        M, V, state, given = self.M[d], self.V["fb".index(d)], x[:h], x[h:-1]
-        x[-1] = 1
-        real = X >= 2
-        whole = real.all(1)
+        h, table, M, V = self.hidden, self.table_t, self.M[d], self.V["fb".index(d)]
+        space = [np.zeros(r * B, np.float32) for r in (M.shape[1], len(M), h, h, h, len(V))]
+        there = np.searchsorted(-n, -np.arange(T), "left")  # windows longer than t
+        wide = 0
         for t in range(T) if d == "f" else range(T - 1, -1, -1):
-            np.take(table, X[t], axis=1, out=given, mode="clip")
+            k = there[t]
+            if (w := min(B, -(-k // STEP) * STEP)) != wide:
+                old = (x[:h, : min(w, wide)].copy(), c[:, : min(w, wide)].copy()) if wide else None
+                x, z, c, t1, t2, y = (q[: len(q) // B * w].reshape(-1, w) for q in space)
+                x[:h], x[-1], c[:] = 0, 1, 0
+                if old:
+                    x[:h, : old[0].shape[1]], c[:, : old[1].shape[1]] = old
+                i, f, o, u = (z[q * h : (q + 1) * h] for q in range(4))
+                gates, state, given, wide = z[: 3 * h], x[:h], x[h:-1], w
+            np.take(table, X[t, :w], axis=1, out=given, mode="clip")
             np.matmul(M, x, out=z)
             np.tanh(z, out=z)
-            f += 1
+            gates += 1
             np.multiply(f, c, out=t1)
-            i += 1
             i *= u
             t1 += i
             np.multiply(t1, 0.5, out=c)
             np.tanh(c, out=t2)
-            o += 1
             np.multiply(o, t2, out=state)  # twice the state
-            if d == "b" and not whole[t]:  # padding, at the end, keeps the state at zero
-                c *= real[t]
-                state *= real[t]
+            if k < w and d == "b":  # padding, at the end, keeps the state at zero
+                c[:, k:] = 0
+                state[:, k:] = 0
             np.matmul(V, state, out=y)
-            out[t] += y
+            out[t, :, :w] += y
 
-    def scores(self, X: np.ndarray) -> np.ndarray:
-        """(T, tags, B) of X (T, B)."""
+    def _scores(self, X: np.ndarray, n: np.ndarray) -> np.ndarray:
         E = np.empty((X.shape[0], len(self.tags), X.shape[1]), np.float32)
         E[:] = self.w["c"][:, None]
         for d in "fb":
-            self._emit(X, d, E)
+            self._emit(X, n, d, E)
+        return E
+
+    def scores(self, X: np.ndarray) -> np.ndarray:
+        """(T, tags, B) of X (T, B); padding is at the end."""
+        n = (X >= 2).sum(0)
+        order = np.argsort(-n, kind="stable")
+        E = np.empty((X.shape[0], len(self.tags), X.shape[1]), np.float32)
+        E[:, :, order] = self._scores(np.ascontiguousarray(X[:, order]), n[order])
         return E
 
+    def _hot(self, E: np.ndarray) -> np.ndarray:
+        """Whether each character, (T, B), is in a stretch that as a span of some kind could score as much as O does.
+
+        Each span of the best path can, for else O in its place would score more.
+        """
+        T, B = len(E), E.shape[2]
+        begin, go_on = E[:, 1::2] - E[:, :1], E[:, 2::2] - E[:, :1]
+        begin += (self.enter + self.leave)[:, None]
+        go_on += self.inner[:, None]
+        for t in range(1, T):  # the best span so far that holds the character
+            np.maximum(begin[t], begin[t - 1] + go_on[t], out=begin[t])
+        rest = np.zeros(begin.shape[1:], np.float32)  # the best continuation
+        hot = np.empty((T, B), bool)
+        for t in range(T - 1, -1, -1):
+            begin[t] += rest
+            np.greater_equal(begin[t].max(0), -SLACK, out=hot[t])
+            rest += go_on[t]
+            np.maximum(rest, 0, out=rest)
+        return hot
+
     def decode(self, X: np.ndarray) -> np.ndarray:
         """Best tag sequence, (T, B); padding is at the end and tagged 0."""
         T, B = X.shape
-        out = np.zeros((T, B), np.int8)
-        E, n = self.scores(X), (X >= 2).sum(0)
-        real = X >= 2
-        m = E[:, 1] + self.inner[0]  # what a character adds to a span at most
-        for k in range(2, E.shape[1]):
-            np.maximum(m, E[:, k] + self.inner[k - 1], out=m)
-        m -= E[:, 0]
-        m *= real
-        before = np.zeros((T + 1, B), np.float32)
-        np.cumsum(m, 0, out=before[1:])
-        most = np.maximum.accumulate(before[:0:-1], 0)[::-1]
-        most -= np.minimum.accumulate(before[:-1], 0)
-        hot = (most >= -self.ends - SLACK) & real
+        n = (X >= 2).sum(0)
+        order = np.argsort(-n, kind="stable")
+        X, n = np.ascontiguousarray(X[:, order]), n[order]
+        E, real = self._scores(X, n), X >= 2
+        hot = self._hot(E) & real
         flat = np.zeros((B, T + 2), np.int8)
         flat[:, 1:-1] = hot.T
         edge = np.diff(flat.reshape(-1))
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         j = a // (T + 2)
         a, b = a - j * (T + 2), b - j * (T + 2)
-        order = np.argsort(b - a, kind="stable")
-        for k in range(0, len(order), 512):
-            some = order[k : k + 512]
-            self._viterbi(E, a[some], b[some], j[some], n, out)
+        by_length, tags = np.argsort(a - b, kind="stable"), np.zeros((T, B), np.int8)
+        for k in range(0, len(by_length), 512):
+            some = by_length[k : k + 512]
+            self._viterbi(E, a[some], b[some], j[some], n, tags)
+        out = np.empty_like(tags)
+        out[:, order] = tags
         return out
 
     def _viterbi(self, E: np.ndarray, a: np.ndarray, b: np.ndarray, j: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
-        """Best tags of the stretches [a, b) of windows ``j``, O on either side of them."""
-        L, K = int((b - a).max()), E.shape[1]
-        at = np.minimum(a[:, None] + np.arange(L), E.shape[0] - 1)
-        Es = E[at, :, j[:, None]]  # (stretch, place, tag)
-        inside = np.arange(L) < (b - a)[:, None]
-        v = np.where((a == 0)[:, None], self.start, self.trans[0]) + Es[:, 0]
-        back = np.empty((L, len(a), K), np.int8)
-        byto = np.ascontiguousarray(self.trans.T)
+        """Best tags of the stretches [a, b) of windows ``j``, O on either side of them; in falling lengths."""
+        T, K, B = E.shape
+        length, trans, flat = b - a, self.trans[:, :, None], E.reshape(-1)
+        L = int(length[0])
+        there = np.searchsorted(-length, -np.arange(L + 1), "left")  # stretches longer than t
+        at = a * (K * B) + j + (np.arange(K) * B)[:, None]
+        v = np.empty((L, K, len(a)), np.float32)
+        v[0] = np.where(a == 0, self.start[:, None], self.trans[0][:, None]) + flat[at]
         for t in range(1, L):
-            x = v[:, None, :] + byto
-            k = x.argmax(2)
-            new = np.take_along_axis(x, k[:, :, None], 2)[:, :, 0] + Es[:, t]
-            on = inside[:, t]
-            back[t] = np.where(on[:, None], k, np.arange(K))
-            v = np.where(on[:, None], new, v)
-        v = v + np.where((b == n[j])[:, None], 0, self.trans[:, 0])
-        k, rows = v.argmax(1), np.arange(len(a))
+            k = there[t]
+            x = v[t - 1, :, None, :k] + trans
+            np.add(x.max(0), flat[at[:, :k] + t * (K * B)], out=v[t, :, :k])
+        leave = np.where(b == n[j], 0, self.trans[:, :1])
+        tag = np.zeros(len(a), np.int64)
         for t in range(L - 1, -1, -1):
-            on = inside[:, t]
-            out[at[on, t], j[on]] = k[on]
-            if t:
-                k = back[t][rows, k]
+            k, new = there[t + 1], slice(there[t + 1], there[t])  # those that go on, and those that end here
+            if k:
+                tag[:k] = (v[t, :, :k] + self.trans[:, tag[:k]]).argmax(0)
+            tag[new] = (v[t, :, new] + leave[:, new]).argmax(0)
+            out[a[: there[t]] + t, j[: there[t]]] = tag[: there[t]]
 
     # -- training -----------------------------------------------------------
 
